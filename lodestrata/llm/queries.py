@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .decontaminate import decontaminate
 from .neardup import near_duplicates
 from .packing import pack
+from .pii import sanitise
+from .quality import quality
 from .shared import documents, work_dir
 from .tokenfile import read_token_files, write_token_files
 
@@ -28,6 +30,14 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitise(documents(spark, sf_dir), keep=["doc_id"])
+    base = F.filter("spans", lambda x: x["kind"] != "term")
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    return found.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), keep=["doc_id"], end_id=0, capacity=1024)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -38,6 +48,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality(documents(spark, sf_dir), keep=["doc_id"], texts=False)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 

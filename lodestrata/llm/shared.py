@@ -143,6 +143,53 @@ def raw_bytes(a: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def row_counts(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many flags each row has."""
+    sums = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
+    return sums[offsets[1:]] - sums[offsets[:-1]]
+
+
+# ---- sets of keys too large to broadcast -------------------------------------------------------
+
+#: Keys of a block: what a task holds of a set at a time (8 bytes each).
+BLOCK_KEYS = 4_000_000
+_blocks: dict[str, np.ndarray] = {}
+
+
+def key_blocks(keys: DataFrame, name: str) -> list[str]:
+    """Store a column of distinct 64-bit keys as files of at most about BLOCK_KEYS keys; their addresses."""
+    from pyarrow import fs
+
+    spark = keys.sparkSession
+    folder = work_dir(spark, name)
+    keys.toDF("k").write.parquet(f"{folder}/all")
+    keys = spark.read.schema("k long").parquet(f"{folder}/all")
+    n = max(1, -(-keys.count() // BLOCK_KEYS))
+    (keys.coalesce(1) if n == 1 else keys.repartition(n, "k")).write.parquet(f"{folder}/blocks")
+    drop_dir(spark, f"{folder}/all")
+    store, path = fs.FileSystem.from_uri(f"{folder}/blocks")
+    return [f"{folder}/blocks/{x.base_name}" for x in store.get_file_info(fs.FileSelector(path)) if x.base_name.endswith(".parquet")]
+
+
+def in_blocks(uris: list[str], h: np.ndarray) -> np.ndarray:
+    """Which hashes are keys of the set. One block is held at a time; a set of one block is read once a process."""
+    import pyarrow.parquet as pq
+
+    found = np.zeros(len(h), bool)
+    if not len(h):
+        return found
+    for uri in uris:
+        if uri not in _blocks:
+            _blocks.clear()
+            with open_shared(uri, "rb") as f:
+                _blocks[uri] = np.sort(pq.read_table(f)["k"].to_numpy().astype(np.int64).view(np.uint64))
+        held = _blocks[uri]
+        if len(held):
+            at = np.minimum(np.searchsorted(held, h), len(held) - 1)
+            found |= held[at] == h
+    return found
+
+
 # ---- words -------------------------------------------------------------------------------------
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -160,7 +207,12 @@ _b = np.arange(256)
 #: Words of letters and digits: everything but ASCII punctuation, space and controls.
 ALNUM = byte_table((_b >= 0x80) | ((_b >= 0x30) & (_b <= 0x39)) | ((_b >= 0x41) & (_b <= 0x5A)) | ((_b >= 0x61) & (_b <= 0x7A)))
 #: Words between white space: space, tab, line feed, vertical tab, form feed, carriage return.
-NONSPACE = byte_table(~((_b == 0x20) | ((_b >= 0x09) & (_b <= 0x0D))))
+_SPACE = (_b == 0x20) | ((_b >= 0x09) & (_b <= 0x0D))
+NONSPACE = byte_table(~_SPACE)
+NONSPACE[0] = 0x20  # NUL is a word character here; no word holds a space
+#: The same words without lower-casing.
+CASED = np.where(_SPACE, 0, _b).astype(np.uint8)
+CASED[0] = 0x20
 
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _RINV = np.uint64(pow(int(_R), -1, 1 << 64))
