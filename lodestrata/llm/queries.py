@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
+from .htmlextract import extract
 from .langid import fit, identify
 from .linededup import drop_repeated_lines
 from .neardup import near_duplicates
@@ -64,6 +65,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_lines(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(documents(spark, sf_dir, "pages"), keep=["page_id", "url"]).select("page_id", "url", "text", "n_chars")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality(documents(spark, sf_dir), keep=["doc_id"], texts=False)
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
