@@ -10,9 +10,10 @@
    prior, 8-bit collisions included); a pair below the chosen miss probability is dropped.
 4. Survivors are verified exactly on the full sets of the two texts, and only verified links count.
 
-A bucket may hold a third of all rows, so its pairs are never all made. First each member is paired with
-the bucket's smallest node, then, where a bucket still spans several components of the links found, with a
-node chosen by hash. Members already connected need no further comparison. For what then is still
+A bucket may hold a third of all rows, so its pairs are never all made. Each member is paired with the
+bucket's hub, the member that shares most buckets with most nodes: where texts vary one original, that is
+the original. Members already connected need no further comparison, and buckets that still span
+several components of the links found so far go through ``STARS`` such rounds. For what then is still
 apart, members of the largest component in the bucket are dealt into blocks of ``BLOCK`` by hash and
 compared in blocks with the members outside it; no pair that could join two components is left out.
 
@@ -40,6 +41,8 @@ from .shared import NONSPACE, Words, byte_slices, pass_through, plain_strings, s
 BANDS, ROWS = 42, 6
 #: Signature values of a comparison step, the miss probability of pruning, and rows of a block.
 STEP, MISS, BLOCK = 28, 1e-6, 512
+#: Rounds of pairing with hubs before the blocks.
+STARS = 2
 
 RESULT = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("component_id", T.LongType()), T.StructField("kept", T.BooleanType()), T.StructField("first", T.BooleanType())])
 
@@ -102,6 +105,41 @@ def survive(a: np.ndarray, b: np.ndarray, stops: list[tuple[int, int]]) -> np.nd
     return live
 
 
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the threshold: 100 * intersection >= percent * union."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.concatenate((x, y))
+    both.sort()
+    inter = int((both[1:] == both[:-1]).sum())
+    return 100 * inter >= percent * (len(both) - inter)
+
+
+def by_cell(f):
+    """A mapInArrow function that gives f each run of rows with equal first three columns, as a table, over batch borders."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def flush(final: bool):
+            t = pa.Table.from_batches(held)
+            key = np.stack([t.column(i).to_numpy().astype(np.int64) for i in range(3)], 1)
+            cut = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+            whole = len(cut) - 1 if final else len(cut) - 2
+            for i in range(whole):
+                yield from f(tuple(key[cut[i]].tolist()), t.slice(cut[i], cut[i + 1] - cut[i]))
+            held[:] = [] if final else t.slice(cut[whole]).to_batches()
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                yield from flush(False)
+        if held:
+            yield from flush(True)
+
+    return run
+
+
 def features(documents: DataFrame, *, id_col: str, text_col: str, keep: list[str], shingle: int, count: int) -> DataFrame:
     """Kept columns and __id, __text, __row (a number for each row), n_shingles, __node (of equal sets), __sig."""
     small_batches(documents.sparkSession)
@@ -140,11 +178,24 @@ class Search:
         first = F.struct(F.col("__id").isNull().alias("no_id"), F.col("__id").alias("id"), F.col("__row").alias("row"))
         nodes = self.rows.filter("__node is not null").groupBy("__node").agg(F.min(first).alias("rep"), F.first("__sig").alias("sig"))
         self.nodes = self.put(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
-        keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * band_rows + 1, band_rows)) for i in range(bands)])
-        every = self.nodes.select("nid", F.explode(keys).alias("bucket"))
-        shared = every.groupBy("bucket").agg(F.min("nid").alias("low"), F.max("nid").alias("high")).filter("low < high").select("bucket", "low")
-        self.members = self.put(every.join(shared, "bucket"), "members")
-        self.tested = None
+        # the band's number in the low 6 bits
+        key = lambda i: F.xxhash64(F.substring("sig", i * band_rows + 1, band_rows)).bitwiseAND(F.lit(-64)).bitwiseOR(F.lit(i))
+        every = self.nodes.select("nid", F.explode(F.array(*[key(i) for i in range(bands)])).alias("bucket"))
+        shared = every.groupBy("bucket").agg(F.min("nid").alias("low"), F.max("nid").alias("high")).filter("low < high").select("bucket")
+        members = self.put(every.join(shared, "bucket"), "shared")
+        self.members = members.withColumn("label", F.col("nid"))
+
+    def hubs(self, members: DataFrame) -> DataFrame:
+        """(bucket, pivot, its label): the member that shares most buckets with most nodes, so the text that others vary."""
+        sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
+        weight = members.join(sizes, "bucket").groupBy("nid").agg(F.sum("n").alias("w"))
+        best = members.join(weight, "nid").groupBy("bucket").agg(F.max(F.struct("w", "nid", "label")).alias("p"))
+        return best.select("bucket", F.col("p.nid").alias("pivot"), F.col("p.label").alias("pivot_label"))
+
+    def star(self, members: DataFrame) -> DataFrame:
+        """Each member of a bucket with the bucket's hub, where their labels differ."""
+        pairs = members.join(self.hubs(members), "bucket").filter("label != pivot_label")
+        return pairs.select(F.least("nid", "pivot").alias("a"), F.greatest("nid", "pivot").alias("b")).distinct()
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.folder}/{name}")
@@ -164,6 +215,11 @@ class Search:
         with_sigs = pairs.join(sig.withColumnsRenamed({"nid": "b", "sig": "sb"}), "b").join(sig.withColumnsRenamed({"nid": "a", "sig": "sa"}), "a").select("a", "b", "sa", "sb")
         return self.put(with_sigs.mapInArrow(run, "a long, b long"), name)
 
+    def texts(self, nids: DataFrame, name: str) -> DataFrame:
+        """(nid, text) of the nodes asked for: of each node, one of the texts that have its set."""
+        reps = self.nodes.join(nids.distinct(), "nid").select("nid", F.col("rep.row").alias("__row"))
+        return self.put(self.rows.select("__row", "__text").join(reps, "__row").select("nid", F.col("__text").alias("text")), f"{name}-texts")
+
     def verify(self, pairs: DataFrame, name: str) -> DataFrame:
         """Pairs whose full sets reach the threshold."""
         shingle, percent = self.shingle, self.percent
@@ -174,28 +230,13 @@ class Search:
                     one = row_sets(Words(plain_strings(s.column(2)), NONSPACE), shingle)
                     texts, back = np.unique(np.array(s.column(3).to_pylist(), object), return_inverse=True)
                     two = row_sets(Words(pa.array(texts.tolist(), pa.string()), NONSPACE), shingle)
-                    ok = []
-                    for i, x in enumerate(one):
-                        y = two[back[i]]
-                        if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                            continue
-                        both = np.concatenate((x, y))
-                        both.sort()
-                        inter = int((both[1:] == both[:-1]).sum())
-                        if 100 * inter >= percent * (len(both) - inter):
-                            ok.append(i)
-                    at = pa.array(ok, pa.int64())
+                    at = pa.array([i for i, x in enumerate(one) if alike(x, two[back[i]], percent)], pa.int64())
                     yield pa.RecordBatch.from_arrays([s.column(0).take(at), s.column(1).take(at)], names=["a", "b"])
 
-        need = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
-        reps = self.nodes.join(need, "nid").select("nid", F.col("rep.row").alias("__row"))
-        texts = self.put(self.rows.select("__row", "__text").join(reps, "__row").select("nid", "__text"), f"{name}-texts")
-        both = pairs.join(texts.withColumnsRenamed({"nid": "a", "__text": "ta"}), "a").join(texts.withColumnsRenamed({"nid": "b", "__text": "tb"}), "b").select("a", "b", "ta", "tb")
+        texts = self.texts(pairs.select(F.explode(F.array("a", "b")).alias("nid")), name)
+        both = pairs.join(texts.withColumnsRenamed({"nid": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"nid": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
         return self.put(both.mapInArrow(run, "a long, b long"), name)
 
-    def links(self, pairs: DataFrame, name: str) -> DataFrame:
-        return self.verify(self.prune(self.put(pairs, f"{name}-pairs"), f"{name}-left"), f"{name}-links")
-
     def labelled(self, links: DataFrame, members: DataFrame, name: str) -> DataFrame:
         """Members of the buckets that still span several components, with their label."""
         labels = components(links).select(F.col("node").alias("nid"), "label")
@@ -205,8 +246,8 @@ class Search:
         return self.put(now.join(apart, "bucket"), name)
 
     def blocks(self, members: DataFrame) -> DataFrame:
-        """All pairs across labels within a bucket, compared block by block; those that pruning leaves."""
-        count, stops = self.count, self.stops
+        """Links across labels within a bucket, found cell by cell: first by signature, then on full sets."""
+        count, stops, bands, band_rows, shingle, percent = self.count, self.stops, self.bands, self.band_rows, self.shingle, self.percent
         sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
         main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("all"))
         main = main.select("bucket", F.col("main.label").alias("main"), F.ceil(F.col("main.n") / BLOCK).cast("int").alias("gm"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).cast("int").alias("go"))
@@ -216,53 +257,55 @@ class Search:
         inside = m.filter("is_main").select("*", upto(F.col("go")).alias("j")).select("bucket", F.col("own").alias("i"), "j", "nid", "label", "sig")
         across = m.filter("not is_main").select("*", upto(F.col("gm")).alias("i")).select("bucket", "i", F.col("own").alias("j"), "nid", "label", "sig")
         others = m.filter("not is_main").select("*", upto(F.col("go")).alias("k")).select("bucket", (-1 - F.least("own", "k")).alias("i"), F.greatest("own", "k").alias("j"), "nid", "label", "sig")
-        cells = inside.unionByName(across).unionByName(others).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        by = ["bucket", "i", "j"]
+        cells = inside.unionByName(across).unionByName(others).repartition(*by).sortWithinPartitions(*by)
+
+        def compare(key: tuple, t: pa.Table):
+            """(cell, node, partners with a greater place) of the nodes of a cell that are in a pair which pruning leaves."""
+            nid, label, sig = t.column(3).to_numpy(), t.column(4).to_numpy(), _sig(t.column(5), count)
+            partners: dict[int, list[int]] = {}
 
-        def compare(nid: np.ndarray, label: np.ndarray, sig: np.ndarray):
             for x in range(len(nid) - 1):
                 y = x + 1 + np.flatnonzero(label[x + 1 :] != label[x])
                 if len(y):
                     ok = y[survive(np.broadcast_to(sig[x], (len(y), count)), sig[y], stops)]
+                    if len(ok):  # a pair is told of in the first band that it shares only
+                        same = (sig[ok] == sig[x]).reshape(len(ok), bands, band_rows).all(axis=2)
+                        ok = ok[same.argmax(axis=1) == int(key[0]) & 63]
                     if len(ok):
-                        yield np.minimum(nid[x], nid[ok]), np.maximum(nid[x], nid[ok])
-
-        def run(batches):
-            held: list[pa.RecordBatch] = []
-
-            def flush(final: bool):
-                """Compare the cells that are whole; the last may go on in the next batch."""
-                t = pa.Table.from_batches(held)
-                key = np.stack([t.column(i).to_numpy() for i in range(3)], 1)
-                cut = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, [len(key)]))
-                upto_ = len(cut) - 1 if final else len(cut) - 2
-                nid, label, sig = t.column(3).to_numpy(), t.column(4).to_numpy(), _sig(t.column(5), count)
-                out = [p for i in range(upto_) for p in compare(nid[cut[i] : cut[i + 1]], label[cut[i] : cut[i + 1]], sig[cut[i] : cut[i + 1]])]
-                held[:] = [] if final else t.slice(int(cut[upto_])).to_batches()
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in out])) for k in (0, 1)], names=["a", "b"])
-
-            for b in batches:
-                if b.num_rows:
-                    held.append(b)
-                    yield from flush(False)
-            if held:
-                yield from flush(True)
-
-        return cells.mapInArrow(run, "a long, b long").distinct()
+                        partners.setdefault(x, []).extend(nid[ok].tolist())
+                        for i in ok.tolist():
+                            partners.setdefault(i, [])
+            if partners:
+                n = len(partners)
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * n), pa.array([key[1]] * n, pa.int32()), pa.array([key[2]] * n, pa.int32()), pa.array(nid[list(partners)]), pa.array(list(partners.values()), pa.list_(pa.int64()))], names=[*by, "nid", "partners"])
+
+        def confirm(key: tuple, t: pa.Table):
+            nid, partners = t.column(3).to_pylist(), t.column(4).to_pylist()
+            sets = dict(zip(nid, row_sets(Words(plain_strings(t.column(5).combine_chunks()), NONSPACE), shingle), strict=True))
+            found = [(min(x, y), max(x, y)) for x, ys in zip(nid, partners, strict=True) for y in ys if alike(sets[x], sets[y], percent)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        left = self.put(cells.mapInArrow(by_cell(compare), "bucket long, i int, j int, nid long, partners array<long>"), "cells")
+        texts = self.texts(left.select("nid"), "cells")
+        whole = left.join(texts, "nid").select(*by, "nid", "partners", "text").repartition(*by).sortWithinPartitions(*by)
+        return self.put(whole.mapInArrow(by_cell(confirm), "a long, b long").distinct(), "links-cells")
 
     def run(self) -> DataFrame:
         """(nid, label) of every linked node."""
-        star = self.members.filter("nid != low").select(F.col("low").alias("a"), F.col("nid").alias("b")).distinct()
-        found = self.links(star, "star")
-        rest = self.labelled(found, self.members.select("bucket", "nid"), "apart-1")
-        pick = rest.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("nid", "bucket").alias("h"), "nid", "label")).alias("p"))
-        second = rest.join(pick, "bucket").filter("label != p.label").select(F.least("nid", "p.nid").alias("a"), F.greatest("nid", "p.nid").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-        found = found.unionByName(self.links(second, "second"))
-        rest = self.labelled(found, rest, "apart-2")
-        left = self.put(self.blocks(rest), "blocks")
-        done = self.spark.read.parquet(f"{self.folder}/star-left").unionByName(self.spark.read.parquet(f"{self.folder}/second-left"))
-        found = found.unionByName(self.verify(self.put(left.join(done, ["a", "b"], "left_anti"), "blocks-left"), "blocks-links"))
-        return components(found)
+        found = done = None
+        rest = self.members
+        for step in range(STARS):
+            pairs = self.star(rest)
+            if done is not None:
+                pairs = pairs.join(done, ["a", "b"], "left_anti")
+            pairs = self.put(pairs, f"pairs-{step}")
+            links = self.verify(self.prune(pairs, f"left-{step}"), f"links-{step}")
+            found = links if found is None else found.unionByName(links)
+            done = pairs if done is None else done.unionByName(pairs)
+            rest = self.labelled(found, rest, f"apart-{step}")
+        return components(found.unionByName(self.blocks(rest)))
 
 
 def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, shingle: int = 5, percent: int = 80, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:

@@ -15,6 +15,7 @@ from .pii import sanitise
 from .quality import quality
 from .shared import documents, work_dir
 from .tokenfile import read_token_files, write_token_files
+from .warc import read_archives, write_archives
 
 
 def tokenizer(name: str) -> str:
@@ -23,6 +24,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = write_archives(documents(spark, sf_dir, "pages"), work_dir(spark, "warc"))
+    found = read_archives(spark, archives, payloads=False).filter("reason is null")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
