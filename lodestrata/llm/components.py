@@ -21,12 +21,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     both = both.unionByName(both.select("u", F.col("u").alias("v"))).distinct()
-    both.write.parquet(f"{folder}/edges")
+    both.hint("rebalance").write.parquet(f"{folder}/edges")
     both = spark.read.schema(both.schema).parquet(f"{folder}/edges")
     labels = both.groupBy("u").agg(F.min("v").alias("label"))
     step = 0
     while True:
-        labels.write.parquet(f"{folder}/{step}")
+        labels.hint("rebalance").write.parquet(f"{folder}/{step}")
         labels = spark.read.schema(labels.schema).parquet(f"{folder}/{step}")
         if step:
             drop_dir(spark, f"{folder}/{step - 1}")

@@ -174,10 +174,10 @@ class Search:
         self.spark, self.folder, self.shingle, self.percent = rows.sparkSession, folder, shingle, percent
         self.bands, self.band_rows, self.count = bands, band_rows, bands * band_rows
         self.stops = bounds(percent / 100, self.count)
-        self.rows = self.put(rows, "rows")
+        self.rows = self.put(rows, "rows", small=False)
         first = F.struct(F.col("__id").isNull().alias("no_id"), F.col("__id").alias("id"), F.col("__row").alias("row"))
         nodes = self.rows.filter("__node is not null").groupBy("__node").agg(F.min(first).alias("rep"), F.first("__sig").alias("sig"))
-        self.nodes = self.put(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
+        self.nodes = self.put(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes", small=False)
         # the band's number in the low 6 bits
         key = lambda i: F.xxhash64(F.substring("sig", i * band_rows + 1, band_rows)).bitwiseAND(F.lit(-64)).bitwiseOR(F.lit(i))
         every = self.nodes.select("nid", F.explode(F.array(*[key(i) for i in range(bands)])).alias("bucket"))
@@ -197,8 +197,9 @@ class Search:
         pairs = members.join(self.hubs(members), "bucket").filter("label != pivot_label")
         return pairs.select(F.least("nid", "pivot").alias("a"), F.greatest("nid", "pivot").alias("b")).distinct()
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.folder}/{name}")
+    def put(self, df: DataFrame, name: str, small: bool = True) -> DataFrame:
+        """Write a table and read it back; a small one first into as few files as its size asks for."""
+        (df.hint("rebalance") if small else df).write.parquet(f"{self.folder}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
     def prune(self, pairs: DataFrame, name: str) -> DataFrame:
@@ -218,7 +219,7 @@ class Search:
     def texts(self, nids: DataFrame, name: str) -> DataFrame:
         """(nid, text) of the nodes asked for: of each node, one of the texts that have its set."""
         reps = self.nodes.join(nids.distinct(), "nid").select("nid", F.col("rep.row").alias("__row"))
-        return self.put(self.rows.select("__row", "__text").join(reps, "__row").select("nid", F.col("__text").alias("text")), f"{name}-texts")
+        return self.put(self.rows.select("__row", "__text").join(reps, "__row").select("nid", F.col("__text").alias("text")), f"{name}-texts", small=False)
 
     def verify(self, pairs: DataFrame, name: str) -> DataFrame:
         """Pairs whose full sets reach the threshold."""
