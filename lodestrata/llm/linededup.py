@@ -7,7 +7,8 @@ covers its three lines; covered positions of a text are merged and those lines r
 keeps a window's first occurrence loses it only where another repeated window covers it.
 
 The windows of a text within itself count too. A window that a third of all texts share is one row of
-each map task before the shuffle; the join that follows is one that the adaptive planner can split.
+each map task before the shuffle. The two joins are sort-merge joins at every size: they can be split by
+the adaptive planner, and no table here has a proven bound for broadcasting.
 
 Defined results: a null text stays null, and a text of fewer than three lines stays as it is. Rows of
 equal id and text are one document: they get the same result, and none repeats the other. A null id
@@ -40,12 +41,12 @@ def drop_repeated_lines(documents: DataFrame, *, id_col: str = "doc_id", text_co
     windows = line_windows(documents, id_col, text_col, size)
     place = F.struct("id", "th", "line")
     first = windows.groupBy("ka", "kb").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("ka", "kb", "first")
-    later = windows.join(first, ["ka", "kb"]).filter(place != F.col("first"))
+    later = windows.join(first.hint("merge"), ["ka", "kb"]).filter(place != F.col("first"))
     covered = later.groupBy("id", "th").agg(F.collect_set("line").alias("starts"))
     folder = work_dir(spark, "repeated-windows")
     covered.write.parquet(folder)
     covered = spark.read.schema(covered.schema).parquet(folder).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("starts").alias("__starts"))
-    joined = documents.select(*kept, F.xxhash64(text_col).alias("__h")).join(covered, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left")
+    joined = documents.select(*kept, F.xxhash64(text_col).alias("__h")).join(covered.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     gone = F.array_distinct(F.flatten(F.transform("__starts", lambda s: F.sequence(s, s + (size - 1)))))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
