@@ -2,7 +2,8 @@
 
 Texts repeat words far more than they repeat texts. Where the tokenizer's rules make it exact, a text is
 cut at single spaces and each distinct piece is encoded once and remembered; other texts are encoded
-whole. The memory is bounded: it is emptied when it holds ``REMEMBERED`` pieces (about 200 MB).
+whole. The memory is bounded: when it holds ``REMEMBERED`` pieces (about 70 MB) a new one is begun, and the
+one before serves pieces that are met again.
 
 - Byte-level rules (a space joins the word after it): a piece is a space and the run up to the next
   space. A text with white space after a space is encoded whole, for such a run is split otherwise.
@@ -17,7 +18,7 @@ from itertools import filterfalse, islice
 
 import numpy as np
 
-REMEMBERED, JOINED = 1_200_000, 64
+REMEMBERED, JOINED = 400_000, 64
 _encoders: dict[str, Encoder] = {}
 
 
@@ -28,6 +29,15 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def folded(text: str) -> str:
+    """The text in lower case, where that is sure to be what the rules make of it: Latin-1 has neither combining nor context-dependent letters."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the unit of parallelism
@@ -37,7 +47,8 @@ class Encoder:
         self.t.encode_special_tokens = True
         rules = json.loads(self.t.to_str())
         self.size = self.t.get_vocab_size()
-        self.memory: dict[str, bytes | None] = {}
+        self.memory: dict[str, bytes | bool] = {}
+        self.older: dict[str, bytes | bool] = {}
         pre, norm = rules.get("pre_tokenizer") or {}, rules.get("normalizer")
         self.kind = "whole"
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
@@ -62,7 +73,7 @@ class Encoder:
         plain = []
         for p in pieces:
             if self.kind == "lead" and (not p or p[0].isspace()):
-                m[p] = None
+                m[p] = False
             elif self.kind == "ends" and "|" in p:
                 m[p] = self._bytes(p)
             else:
@@ -89,15 +100,20 @@ class Encoder:
         if self.kind == "whole":
             return [np.array(e.ids, np.uint32).tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
         if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-        cut = [t.split(" ") for t in texts]
+            self.older, self.memory = self.memory, {}
         lead = self.kind == "lead"
+        cut = [t.split(" ") for t in (texts if lead else map(folded, texts))]
         heads = [c[0] for c in cut]
+        if lead:
+            for c in cut:
+                c[0] = "."  # encoded apart: no space stands before it
         m, out, new = self.memory, [], set()
         for c in cut:
-            if lead:
-                c[0] = "."  # encoded apart: no space stands before it
             new.update(filterfalse(m.__contains__, c))
+        if new and self.older:
+            for p in list(new & self.older.keys()):
+                m[p] = self.older[p]
+                new.discard(p)
         if new:
             self._learn(sorted(new))
         for t, c, h in zip(texts, cut, heads, strict=True):
@@ -106,6 +122,6 @@ class Encoder:
                     out.append((self._bytes(h) if h else b"") + b"".join(map(m.__getitem__, islice(c, 1, None))))
                 else:
                     out.append(b"".join(map(m.__getitem__, c)))
-            except TypeError:
+            except TypeError:  # a piece that white space begins
                 out.append(self._bytes(t))
         return out
