@@ -19,6 +19,10 @@ from itertools import filterfalse, islice
 import numpy as np
 
 REMEMBERED, JOINED = 400_000, 64
+#: Marks that are split from a word before them.
+MARKS = frozenset(".,;:!?")
+#: Byte-level form of the letters U+00C0 to U+00FF: each of a letter's two bytes as the character that stands for it.
+BYTES = {i: "".join(chr(b) if 0xA1 <= b <= 0xAC or 0xAE <= b else "\u0143" if b == 0xAD else chr(0xA2 + b) for b in chr(i).encode()) for i in range(0xC0, 0x100)}
 _encoders: dict[str, Encoder] = {}
 
 
@@ -38,10 +42,16 @@ def folded(text: str) -> str:
     return text.lower()
 
 
+def simple(word: str) -> bool:
+    """Whether a word of letters has only those of ASCII and U+00C0 to U+00FF."""
+    return word.isascii() or all(c < "\x80" or "\xc0" <= c <= "\xff" for c in word)
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the unit of parallelism
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.t = Tokenizer.from_file(path)
         self.t.encode_special_tokens = True
@@ -50,16 +60,21 @@ class Encoder:
         self.memory: dict[str, bytes | bool] = {}
         self.older: dict[str, bytes | bool] = {}
         pre, norm = rules.get("pre_tokenizer") or {}, rules.get("normalizer")
-        self.kind = "whole"
+        self.kind, self.model = "whole", Tokenizer.from_file(path)
+        self.model.encode_special_tokens = True
+        self.marks = {c: self._bytes(c) for c in MARKS}
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
             self.kind = "lead"
             lead = np.zeros(self.size, bool)
             lead[[i for w, i in self.t.get_vocab().items() if w.startswith("Ġ")]] = True
             self.lead = lead
+            self.model.pre_tokenizer = WhitespaceSplit()  # what is left of the rules for a word of letters
         elif rules["model"].get("end_of_word_suffix") and norm and {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "} in norm.get("normalizers", []):
             bar = self._ids("|")
             if len(bar) == 1:
                 self.kind, self.bar = "ends", bar[0]
+                self.model.normalizer = None
+                self.model.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def _ids(self, text: str) -> list[int]:
         return self.t.encode(text, add_special_tokens=False).ids
@@ -67,33 +82,58 @@ class Encoder:
     def _bytes(self, text: str) -> bytes:
         return np.array(self._ids(text), np.uint32).tobytes()
 
+    def _cut(self, t, words: list[str], plain: bool) -> list[bytes]:
+        """Ids of words, many to a call, cut where a word begins."""
+        lead = self.kind == "lead"
+        if plain and lead:
+            joined = ["Ġ" + " Ġ".join(words[i : i + JOINED]).translate(BYTES) for i in range(0, len(words), JOINED)]
+        else:
+            joined = [(" " + " ".join(words[i : i + JOINED]) if lead else " | ".join(words[i : i + JOINED])) for i in range(0, len(words), JOINED)]
+        out: list[bytes] = []
+        for k, e in enumerate(t.encode_batch_fast(joined, add_special_tokens=False)):
+            group = words[k * JOINED : (k + 1) * JOINED]
+            ids = np.array(e.ids, np.uint32)
+            raw = ids.tobytes()
+            if lead:
+                first = (np.flatnonzero(self.lead[ids]) * 4).tolist()
+                last = [*first[1:], len(raw)]
+            else:
+                cut = np.flatnonzero(ids == self.bar) * 4
+                first, last = [0, *(cut + 4).tolist()], [*cut.tolist(), len(raw)]
+            if len(first) == len(group) and first[0] == 0:
+                out += [raw[i:j] for i, j in zip(first, last, strict=True)]
+            else:
+                out += [self._bytes(" " + w if lead else w) for w in group]
+        return out
+
     def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces, many to a call, and cut the ids where pieces begin."""
-        m = self.memory
-        plain = []
+        """Remember new pieces. Letters alone, or letters and one mark after them, need only the model;
+        the mark is a word of its own by either kind of rules."""
+        m, plain, tailed, other = self.memory, [], [], []
         for p in pieces:
-            if self.kind == "lead" and (not p or p[0].isspace()):
+            if p.isalpha():
+                plain.append(p)
+            elif p[-1:] in MARKS and p[:-1].isalpha():
+                tailed.append(p)
+            elif self.kind == "lead" and (not p or p[0].isspace()):
                 m[p] = False
+            elif not p:
+                m[p] = b""
             elif self.kind == "ends" and "|" in p:
                 m[p] = self._bytes(p)
             else:
-                plain.append(p)
-        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-        joined = [" " + " ".join(g) if self.kind == "lead" else " | ".join(g) for g in groups]
-        for g, e in zip(groups, self.t.encode_batch_fast(joined, add_special_tokens=False) if groups else [], strict=True):
-            ids = np.array(e.ids, np.uint32)
-            if self.kind == "lead":
-                cut = np.flatnonzero(self.lead[ids])
-                at = np.append(cut, len(ids)) * 4
-                first, last = at[:-1].tolist(), at[1:].tolist()
-            else:
-                cut = np.flatnonzero(ids == self.bar) * 4
-                first, last = [0, *(cut + 4).tolist()], [*cut.tolist(), len(ids) * 4]
-            raw = ids.tobytes()
-            if len(first) == len(g) and (self.kind == "ends" or not len(cut) or cut[0] == 0):
-                m.update(zip(g, [raw[i:j] for i, j in zip(first, last, strict=True)], strict=True))
-            else:
-                m.update((p, self._bytes(" " + p if self.kind == "lead" else p)) for p in g)
+                other.append(p)
+        new = set(plain)
+        new.update(b for p in tailed if (b := p[:-1]) not in m)
+        easy, hard = [], other
+        for w in new:
+            (easy if simple(w) and (self.kind == "lead" or w == w.lower()) else hard).append(w)
+        easy.sort()
+        hard.sort()
+        m.update(zip(easy, self._cut(self.model, easy, True), strict=True))
+        m.update(zip(hard, self._cut(self.t, hard, False), strict=True))
+        for p in tailed:
+            m[p] = m[p[:-1]] + self.marks[p[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""

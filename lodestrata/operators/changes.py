@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -96,6 +96,16 @@ def apply_diff(base: DataFrame, d: Diff, keys: list[str]) -> DataFrame:
     return base.join(gone, keys, "left_anti").select(*d.upserts.columns).unionByName(d.upserts)
 
 
+def export_diff(d: Diff, folder: str) -> None:
+    """An incremental backup: upserts and deletes as two tables."""
+    d.upserts.write.parquet(f"{folder}/upserts")
+    d.deletes.write.parquet(f"{folder}/deletes")
+
+
+def import_diff(spark: SparkSession, folder: str) -> Diff:
+    return Diff(spark.read.parquet(f"{folder}/upserts"), spark.read.parquet(f"{folder}/deletes"))
+
+
 def as_of(commits: DataFrame, at: int, *, version: str = "version", ts: str = "ts_ms") -> DataFrame:
     """The highest version whose time is not after ``at``."""
     return commits.agg(F.max(F.when(F.col(ts) <= at, F.col(version))).alias("version"))

@@ -15,9 +15,10 @@ from ..functions import vectors as V
 from ..operators import blobs, changes, graph, ivfpq, knn, merge, multimap, ordered, ttl
 from ..operators.ordered import Bounds
 from ..sources import store as S
-from ..sources.tables import open_untyped, table
+from ..sources.tables import open_untyped, salvage, table, table_stats
 from ..streaming import changefeed
 from .composite import CompositeQuery
+from .engine import Engine, EngineConfig
 
 AS_OF_MS = 1_705_276_800_000  # 2024-01-15
 QUERY_ID = 0
@@ -595,6 +596,73 @@ def stream_changefeed(spark, d):
     return s.read("latest")
 
 
+def diff_export_import(spark, d):
+    a, _, x = _diff(spark, d)
+    changes.export_diff(x, folder := S.scratch(spark, "delta"))
+    return changes.apply_diff(a, changes.import_diff(spark, folder), ["k"])
+
+
+def _engine(spark, d, **switches):
+    """Two group commits on a table of customers with change capture."""
+    e = Engine(spark, S.scratch(spark, "engine"), EngineConfig(cdc=True, **switches))
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    e.commit(1, lambda t: e.apply(t, "customer", ["c_custkey"], c.filter("c_custkey % 3 <> 0")))
+    moved = c.filter("c_custkey % 5 = 0").select("c_custkey", (F.col("c_nationkey") + 100).alias("c_nationkey"))
+    e.commit(2, lambda t: e.apply(t, "customer", ["c_custkey"], moved), lambda t: e.apply(t, "customer", ["c_custkey"], None, c.filter("c_custkey % 7 = 0")))
+    return e
+
+
+def store_engine_table(spark, d):
+    return _engine(spark, d).read("customer")
+
+
+def cdc_engine_log(spark, d):
+    log = _engine(spark, d).changes_since(1)
+    return log.select(F.get_json_object("key", "$.c_custkey").cast("long").alias("k"), "op", F.get_json_object("old_value", "$.c_nationkey").cast("long").alias("old"), F.get_json_object("new_value", "$.c_nationkey").cast("long").alias("new"))
+
+
+def cdc_engine_retention(spark, d):
+    e = _engine(spark, d, cdc_retention=1)
+    return e.log().groupBy("txn").agg(F.count("*").alias("n"))
+
+
+def kv_salvage(spark, d):
+    """A copy of a table beside a file that is no parquet."""
+    folder = S.scratch(spark, "salvage")
+    n = table(spark, d, "nation")
+    n.repartition(2).write.parquet(folder)
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{folder}/part-broken.parquet")
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    out.write(b"PAR1 this is no parquet file PAR1")
+    out.close()
+    return salvage(spark, folder, n.schema)
+
+
+def list_table_stats(spark, d):
+    names = ("region", "nation", "customer", "orders")
+    return table_stats(spark, {t: f"{d}/{t}.parquet" for t in names})
+
+
+def stream_windows(spark, d):
+    """Events counted in tumbling windows of six hours."""
+    w = changefeed.windows(table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type"), "ts", "6 hours", "1 day", "event_type")
+    return w.select(F.unix_seconds("window.start").alias("start_s"), "event_type", "n")
+
+
+def graph_edge_context(spark, d):
+    """Edges with a context held to 62 bytes."""
+    c = table(spark, d, "conversations").filter("turn > 0")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn") - 1).alias("parent"), (F.col("conv_id") * 1000 + F.col("turn")).alias("child"), blobs.cut(F.concat(F.lit("turn by "), "role", F.lit(" "), F.repeat(F.lit("x"), 60)), blobs.CONTEXT).alias("context"))
+
+
+def ann_codebooks(spark, d):
+    """(subvector, codeword) of a trained index: the shape of its codebooks."""
+    index = ivfpq.train(_vectors(spark, d), ivfpq.IndexConfig(64, 8, 16))
+    m, k, width = index.codebooks.shape
+    return spark.range(m * k).select((F.col("id") / k).cast("int").alias("m"), (F.col("id") % k).alias("k"), F.lit(width).alias("width"))
+
+
 def hlc_clock(spark, d):
     e = _events(spark, d)
     h = hlc.from_parts(F.col("ts_ms"), F.col("event_id") % 65536)

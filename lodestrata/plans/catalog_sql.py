@@ -94,6 +94,7 @@ def composite(near: str | None, span: bool, reach: str | None, w: tuple[float, f
 FOLD = f"""WITH RECURSIVE e AS (SELECT user_id, n % 1000 AS x, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM ({EV})),
   f AS (SELECT user_id, i, greatest(1, x) AS v FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, greatest(f.v + 1, e.x) FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
   SELECT user_id, CAST(arg_max(v, i) AS BIGINT) AS v FROM f GROUP BY user_id HAVING arg_max(v, i) >= 900"""
+ENGINE = "SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 5 = 0 THEN c_nationkey + 100 END AS m FROM customer"
 H, OTHER, NOW = "(ts_ms << 16 | event_id % 65536)", "((ts_ms - 5 + event_id % 11) << 16 | 65535)", "(ts_ms + event_id % 3 - 1)"
 
 
@@ -192,6 +193,15 @@ SQL: dict[str, str] = {
     "diff_deletes": DEL,
     "diff_counts": f"SELECT (SELECT count(*) FROM ({UPS})) AS upserts, (SELECT count(*) FROM ({DEL})) AS deletes",
     "diff_apply": B,
+    "diff_export_import": B,
+    "store_engine_table": f"SELECT c_custkey, coalesce(m, c_nationkey) AS c_nationkey FROM ({ENGINE}) WHERE (m IS NOT NULL OR c_custkey % 3 <> 0) AND c_custkey % 7 <> 0",
+    "cdc_engine_log": f"""SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'insert' ELSE 'update' END AS op, CASE WHEN c_custkey % 3 <> 0 THEN c_nationkey END AS old, m AS new FROM ({ENGINE}) WHERE m IS NOT NULL
+        UNION ALL SELECT c_custkey, 'delete', coalesce(m, c_nationkey), NULL FROM ({ENGINE}) WHERE (m IS NOT NULL OR c_custkey % 3 <> 0) AND c_custkey % 7 = 0""",
+    "cdc_engine_retention": f"SELECT 2 AS txn, (SELECT count(*) FROM ({ENGINE}) WHERE m IS NOT NULL) + (SELECT count(*) FROM ({ENGINE}) WHERE (m IS NOT NULL OR c_custkey % 3 <> 0) AND c_custkey % 7 = 0) AS n",
+    "kv_salvage": "SELECT * FROM nation",
+    "list_table_stats": " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS rows, 1 AS files FROM {t}" for t in ("region", "nation", "customer", "orders")),
+    "stream_windows": "SELECT epoch_us(time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01')) // 1000000 AS start_s, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "graph_edge_context": "SELECT conv_id * 1000 + turn - 1 AS parent, conv_id * 1000 + turn AS child, substr('turn by ' || role || ' ' || repeat('x', 60), 1, 62) AS context FROM conversations WHERE turn > 0",
     "store_time_travel": f"{ORD} WHERE o_orderkey % 4 < 2",
     "store_savepoint": f"{ORD} WHERE o_orderkey % 2 = 0",
     "store_backup": "SELECT 'nation' AS \"table\", count(*) AS rows, count(*) AS copied_rows, true AS same FROM nation UNION ALL SELECT 'region', count(*), count(*), true FROM region",

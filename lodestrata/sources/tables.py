@@ -39,3 +39,21 @@ def open_untyped(spark: SparkSession, path: str, key: list[str], value: list[str
     df = spark.read.parquet(path)
     raw = lambda cs: F.encode(F.concat_ws("\x00", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cs]), "utf-8")
     return df.select(raw(key).alias("key"), raw(value).alias("value"))
+
+
+def salvage(spark: SparkSession, path: str, declared: T.StructType) -> DataFrame:
+    """What can still be read of a table some of whose files are damaged or gone."""
+    return spark.read.schema(declared).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").parquet(path)
+
+
+def table_stats(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(table, rows, files): rows come from the footers, for no column is read."""
+    from pyspark.sql import functions as F
+
+    out = None
+    for name, path in paths.items():
+        df = spark.read.parquet(path)
+        one = df.select(F.col("_metadata.file_path").alias("f")).groupBy("f").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("files"))
+        one = one.select(F.lit(name).alias("table"), "rows", "files")
+        out = one if out is None else out.unionByName(one)
+    return out
