@@ -8,7 +8,8 @@ The salvage reader takes an archive from front to back and checks every record:
 end, the version line, the header block, the content length, the two line ends after the block, and the
 SHA-256 digests of block and payload where stated. After a failed check it searches for the next member
 or version line from which a whole record passes, goes on there, and logs the bytes between as a quarantined gap
-(file, start, end, reason). It holds a window of the file and one record at a time.
+(file, start, end, reason). It holds a window of the file and one record at a time. A header block may have any
+length up to that of a record, so a url is kept whole however long it is.
 
 Archives are written one a task, under a draft name until whole, so a repeated attempt replaces an equal
 file. Finding the first of equal payloads is an aggregation over digests that combines before the shuffle,
@@ -42,8 +43,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 VERSION = re.compile(rb"WARC/[01]\.[0-9]+\r\n")
 MEMBER = b"\x1f\x8b\x08"
 
-#: Bytes the reader fetches at a time, and the most that it takes for a header block or a record.
-FETCH, HEADER_MOST, RECORD_MOST = 1 << 20, 1 << 16, 1 << 31
+#: Bytes the reader fetches at a time, the first step for a header block, and the most that it takes for a record.
+FETCH, HEADER_STEP, RECORD_MOST = 1 << 20, 1 << 16, 1 << 31
 
 
 # ---- records -----------------------------------------------------------------------------------
@@ -154,15 +155,26 @@ def check_record(fields: dict[str, str], block: bytes) -> None:
         raise Damage("the payload doesn't match its digest")
 
 
-def parse(get, start: int) -> tuple[dict[str, str], bytes, int]:
-    """(fields, block, length of the record) of plain record bytes; get(offset, n) gives bytes from its start."""
-    head = get(0, HEADER_MOST)
+def header_block(get) -> bytes:
+    """The version line and the header lines, whatever their length, read in growing steps until the blank line."""
+    n = HEADER_STEP
+    head = get(0, n)
     if not VERSION.match(head):
         raise Damage("no version line")
-    end = head.find(b"\r\n\r\n")
-    if end < 0:
-        raise Damage("the header block doesn't end")
-    fields = header_fields(head[:end])
+    while (end := head.find(b"\r\n\r\n")) < 0:
+        header_fields(head[: head.rfind(b"\r\n")])  # what is no header isn't read to the end of the file
+        if len(head) < n or n > RECORD_MOST:
+            raise Damage("the header block doesn't end")
+        n *= 2
+        head = get(0, n)
+    return head[:end]
+
+
+def parse(get, start: int) -> tuple[dict[str, str], bytes, int]:
+    """(fields, block, length of the record) of plain record bytes; get(offset, n) gives bytes from its start."""
+    head = header_block(get)
+    end = len(head)
+    fields = header_fields(head)
     length = fields.get("content-length", "")
     if not length.isdecimal() or int(length) > RECORD_MOST:
         raise Damage("no usable content length")
@@ -310,7 +322,7 @@ def read_archives(spark: SparkSession, files: DataFrame, payloads: bool = True)
                 with open_shared(file, "rb") as f:
                     for r in salvage(f):
                         held.append(row(file, r))
-                        size += len(held[-1][-1] or b"") + 200
+                        size += len(held[-1][-1] or b"") + len(held[-1][5] or "") + 200
                         if size > 1 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
                             held, size = [], 0
