@@ -2,19 +2,22 @@
 
 Base kinds are found by pattern, leftmost and without overlap within a kind: email, ip, card (Luhn), phone.
 
-Information-theoretic sanitisation then asks which other words near an entity reveal it. For an entity e (a
-distinct value of a base kind) and a word t within ``CONTEXT`` words of it, counted over all documents:
+Information-theoretic sanitisation then asks which other words of a text reveal its entities. For an entity e (a
+distinct value of a base kind) and a word t outside base spans, counted in documents over all documents:
 
     PMI(e, t) = log2(N * c(e, t) / (df(e) * df(t)))        IC(e) = log2(N / df(e))
 
 PMI never exceeds IC for a word that discloses everything, so PMI / IC is the share of the entity's
 information that the word gives away. A word is a disclosing term where that share is at least ``DISCLOSURE``
-and it stands near the entity in ``SUPPORT`` different texts at least (copies of one text are one). In the
+and it shares at least ``SUPPORT`` different texts with the entity (copies of one text are one). Every occurrence
+of a disclosing term is a span in each text that holds its entity, wherever the two stand. In the
 redacted text, base spans become their kind; disclosing words with digits are generalised to <number>,
 capitalised ones to <name>, and other words are removed.
 
-Contexts are linear in the number of entities, counts combine before the shuffle, document frequencies are
-counted for candidate words only, and the disclosing pairs are key files that tasks read block by block.
+Entities and words that occur in too few texts for any pair are left out before pairs are formed, which changes no
+result; the pairs of a text are then the product of the others, made in parts of bounded size. Counts combine before
+the shuffle, document frequencies are counted for candidate words only, and the disclosing pairs are key files that
+tasks read block by block.
 
 Defined results: a null or empty text has no spans. Repeated rows get equal results. Offsets are code
 points, end exclusive. Input columns named like a result column are replaced.
@@ -32,7 +35,9 @@ from pyspark.sql import types as T
 
 from .shared import byte_slices, in_blocks, key_blocks, map_texts, materialise, mix, plain_strings, raw_bytes, row_counts, small_batches
 
-CONTEXT, SUPPORT, DISCLOSURE = 10, 3, 0.9
+SUPPORT, DISCLOSURE = 3, 0.9
+#: Pairs of entities and terms that a task holds at a time.
+GRID = 1 << 18
 KINDS = ("email", "ip", "card", "phone", "term")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -83,21 +88,30 @@ def base_spans(text: str, digits: bool = True) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]], reach: int = CONTEXT):
-    """(entity hash, [(term hash, start, end)]) of each span; words inside base spans are no terms."""
+def entity_hashes(text: str, spans: list[tuple[int, int, int]]) -> np.ndarray:
+    """The distinct entities of a text."""
     import xxhash
 
-    covered = [(i, j) for i, _, j in spans]
-    for start, kind, end in spans:
-        near = []
-        for lo, hi, side in ((max(0, start - 40 * reach), start, -1), (end, min(len(text), end + 40 * reach), 1)):
-            words = list(WORD.finditer(text, lo, hi))
-            if side < 0:
-                words = [w for w in words if w.start() > lo or lo == 0][-reach:]
-            else:
-                words = [w for w in words if w.end() < hi or hi == len(text)][:reach]
-            near += [(xxhash.xxh64_intdigest(w[0].lower()), w.start(), w.end()) for w in words if not any(i < w.end() and w.start() < j for i, j in covered)]
-        yield xxhash.xxh64_intdigest(f"{KINDS[kind]}:{text[start:end].lower()}"), near
+    return np.unique(np.array([xxhash.xxh64_intdigest(f"{KINDS[kind]}:{text[start:end].lower()}") for start, kind, end in spans], np.uint64))
+
+
+def term_hashes(text: str, spans: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of each word of a text; words inside base spans are no terms."""
+    import xxhash
+
+    at = np.array([m.span() for m in WORD.finditer(text)], np.int64).reshape(-1, 2)
+    first, last = np.array([x[0] for x in spans]), np.maximum.accumulate([x[2] for x in spans])
+    before = np.searchsorted(first, at[:, 1])  # spans that begin before the word's end
+    at = at[(before == 0) | (last[np.maximum(before - 1, 0)] <= at[:, 0])]
+    return np.array([xxhash.xxh64_intdigest(text[i:j].lower()) for i, j in at.tolist()], np.uint64), at[:, 0], at[:, 1]
+
+
+def grids(e: np.ndarray, t: np.ndarray):
+    """All pairs of the two, in parts of bounded size."""
+    step = max(1, GRID // max(1, len(t)))
+    for k in range(0, len(e), step):
+        part = e[k : k + step]
+        yield np.repeat(part, len(t)), np.tile(t, len(part))
 
 
 def pair_keys(e: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -111,33 +125,87 @@ def flags(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     return digit, digit | (row_counts(data == 64, offsets) > 0)
 
 
-def disclosing(documents: DataFrame, text_col: str, support: int, disclosure: float) -> list[str]:
-    """Key files of the (entity, term) pairs above the threshold."""
+def with_entities(batches):
+    """Lists of (text, base spans, entities) of the texts that have any, a slice at a time."""
+    for b in batches:
+        for s in byte_slices(b, 0):
+            texts = plain_strings(s.column(0))
+            digit, some = flags(texts)
+            out = []
+            for i in np.flatnonzero(some).tolist():
+                t = texts[i].as_py()
+                if own := base_spans(t, bool(digit[i])):
+                    out.append((t, own, entity_hashes(t, own)))
+            if out:
+                yield out
+
+
+def known(keys: list[str], arrays: list[np.ndarray]) -> list[np.ndarray]:
+    """Which elements of each array are keys of the set."""
+    return np.split(in_blocks(keys, np.concatenate(arrays)), np.cumsum([len(x) for x in arrays])[:-1])
+
+
+def joined(parts, names: list[str]):
+    """Record batches of the parts' columns."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= GRID:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in zip(*held, strict=True)], names=names)
+            held, n = [], 0
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in zip(*held, strict=True)], names=names)
+
+
+def doc_column(text: str, n: int) -> np.ndarray:
     import xxhash
 
+    return np.full(n, xxhash.xxh64_intdigest(text), np.uint64)
+
+
+def disclosing(documents: DataFrame, text_col: str, support: int, disclosure: float) -> list[str]:
+    """Key files of the (entity, term) pairs above the threshold, and of their entities and terms."""
     spark = documents.sparkSession
     small_batches(spark)
     text = documents.select(F.col(text_col).cast("string").alias("t"))
 
+    def entities(batches):
+        return joined(((e, doc_column(t, len(e))) for found in with_entities(batches) for t, _, e in found), ["e", "doc"])
+
+    # a pair has no more texts than its entity or its term, so those in fewer than ``support`` texts are in none
+    found = text.mapInArrow(entities, "e long, doc long").groupBy("e", "doc").agg(F.count("*").alias("n"))
+    found = materialise(found.groupBy("e").agg(F.sum("n").alias("df_e"), F.count("*").alias("texts")).filter(F.col("texts") >= support), "entities")
+    live = key_blocks(found.select("e"), "live-entities")
+
+    def words(batches):
+        def parts():
+            for found in with_entities(batches):
+                for (t, own, _), hit in zip(found, known(live, [x[2] for x in found]), strict=True):
+                    if hit.any():
+                        h = np.unique(term_hashes(t, own)[0])
+                        yield h, doc_column(t, len(h))
+
+        return joined(parts(), ["t", "doc"])
+
+    near = text.mapInArrow(words, "t long, doc long").distinct().groupBy("t").agg(F.count("*").alias("texts"))
+    candidates = materialise(near.filter(F.col("texts") >= support).select("t"), "near-terms")
+    terms = key_blocks(candidates, "candidate-terms")
+    both = key_blocks(found.select(F.col("e").alias("k")).unionByName(candidates.select(F.col("t").alias("k"))).distinct(), "candidates")
+
     def gather(batches):
-        for b in batches:
-            for s in byte_slices(b, 0):
-                texts = plain_strings(s.column(0))
-                digit, some = flags(texts)
-                rows = set()
-                for i in np.flatnonzero(some).tolist():
-                    t = texts[i].as_py()
-                    doc = xxhash.xxh64_intdigest(t)
-                    for e, near in contexts(t, base_spans(t, bool(digit[i]))):
-                        rows.add((e, 0, doc, i))  # term 0: the entity itself
-                        rows.update((e, x[0] or 1, doc, i) for x in near)
-                if rows:
-                    a = np.array(sorted(rows), np.uint64).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(a[:, k]) for k in range(3)], names=["e", "t", "doc"])
+        def parts():
+            for found in with_entities(batches):
+                for (t, own, e), hit in zip(found, known(both, [x[2] for x in found]), strict=True):
+                    if hit.any():
+                        h = np.unique(term_hashes(t, own)[0])
+                        for x, y in grids(e[hit], h[in_blocks(both, h)]):
+                            yield x, y, doc_column(t, len(x))
+
+        return joined(parts(), ["e", "t", "doc"])
 
     pairs = text.mapInArrow(gather, "e long, t long, doc long").groupBy("e", "t", "doc").agg(F.count("*").alias("n"))
     pairs = materialise(pairs.groupBy("e", "t").agg(F.sum("n").alias("c"), F.count("*").alias("texts")).filter(F.col("texts") >= support), "entity-terms")
-    terms = key_blocks(pairs.filter("t != 0").select("t").distinct(), "candidate-terms")
     total = documents.count()
 
     def count(batches):
@@ -150,8 +218,7 @@ def disclosing(documents: DataFrame, text_col: str, support: int, disclosure: fl
             yield pa.RecordBatch.from_arrays([pa.array(np.array(list(seen), np.uint64).view(np.int64)), pa.array(list(seen.values()), pa.int64())], names=["t", "n"])
 
     df_term = text.mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("df_t"))
-    df_entity = pairs.filter("t = 0").select("e", F.col("c").alias("df_e"))
-    scored = pairs.filter("t != 0").join(df_entity, "e").join(df_term, "t")
+    scored = pairs.join(found.select("e", "df_e"), "e").join(df_term, "t")
     n = F.lit(float(max(total, 1)))
     pmi, ic = F.log2(n * F.col("c") / (F.col("df_e") * F.col("df_t"))), F.log2(n / F.col("df_e"))
     key = F.col("e"), F.col("t")
@@ -160,9 +227,9 @@ def disclosing(documents: DataFrame, text_col: str, support: int, disclosure: fl
     def keys(batches):
         for b in batches:
             e, t = (b.column(i).to_numpy().astype(np.int64).view(np.uint64) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(pair_keys(e, t).view(np.int64))], names=["k"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((pair_keys(e, t), e, t)).view(np.int64))], names=["k"])
 
-    return key_blocks(chosen.mapInArrow(keys, "k long"), "disclosing")
+    return key_blocks(chosen.mapInArrow(keys, "k long").distinct(), "disclosing")
 
 
 def candidate_hashes(texts: pa.StringArray, terms: list[str]):
@@ -190,12 +257,15 @@ def sanitise(documents: DataFrame, *, text_col: str = "text", keep: list[str] |
                 own = base_spans(t, bool(digit[i]))
                 if not own:
                     continue
-                near = [(e, *x) for e, xs in contexts(t, own) for x in xs]
-                if near:
-                    e, h = (np.array([x[k] for x in near], np.uint64) for k in (0, 1))
-                    h[h == 0] = 1
-                    hit = in_blocks(found, pair_keys(e, h))
-                    own = sorted({*own, *((near[k][2], 4, near[k][3]) for k in np.flatnonzero(hit).tolist())})
+                e = entity_hashes(t, own)
+                e = e[in_blocks(found, e)]
+                if len(e):
+                    h, start, end = term_hashes(t, own)
+                    some_terms = np.unique(h)
+                    some_terms = some_terms[in_blocks(found, some_terms)]
+                    told = [y[in_blocks(found, pair_keys(x, y))] for x, y in grids(e, some_terms)]
+                    hit = np.isin(h, np.concatenate(told)) if told else np.zeros(len(h), bool)
+                    own = sorted({*own, *((a, 4, b) for a, b in zip(start[hit].tolist(), end[hit].tolist(), strict=True))})
                 spans[i] = [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in own]
                 out, at = [], 0
                 for a, k, b in own:

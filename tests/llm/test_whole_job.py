@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import pytest
 
-from lodestrata.llm import queries, warc
+from lodestrata.llm import pii, queries, warc
 
-from .test_operators import Memory, ids
+from .test_operators import Memory, frame, ids
 
 
 # ---- op1_warc ----------------------------------------------------------------------------------
@@ -33,3 +34,29 @@ def test_long_urls_in_op1(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: (r.record_type, r.refers_to) for r in queries.op1_warc(spark, str(tmp_path)).collect()}
     assert got == {1: ("response", None), 2: ("revisit", 1)}
+
+
+# ---- op5_pii -----------------------------------------------------------------------------------
+
+
+def test_terms_far_from_their_entity(spark):
+    r = random.Random(2)
+    fill = lambda n: " ".join(r.choice(["common", "words", "appear", "often", "here"]) for _ in range(n))
+    texts = [fill(30) for _ in range(400)]
+    # far from the mail address always; near it and again far away; and behind more than 400 marks
+    texts += [f"Zorbinia {fill(300)} office agent77 boss@corp.example.com {'.' * 900} Qumran {fill(200)} agent77" for _ in range(6)]
+    texts += [f"{fill(10)} Zorbinia without the address"]
+    texts += [f"{fill(10)} office {fill(10)}" for _ in range(60)]
+    out = {x.doc_id: x for x in pii.sanitise(frame(spark, texts)).collect()}
+    for i in range(400, 406):
+        terms = [texts[i][s.start : s.end] for s in out[i].spans if s.kind == "term"]
+        assert terms == ["Zorbinia", "agent77", "Qumran", "agent77"]
+        assert not any(x in out[i].redacted for x in ("Zorbinia", "agent77", "Qumran", "boss@")) and "office" in out[i].redacted
+    assert all(not out[i].spans for i in range(len(texts)) if not 400 <= i < 406)
+
+
+def test_terms_are_outside_all_base_spans():
+    text = "ab@x.com 10.0.0.1 cd +12 345 678 9012 ef"
+    h, start, end = pii.term_hashes(text, pii.base_spans(text))
+    assert [text[i:j] for i, j in zip(start, end, strict=True)] == ["cd", "ef"] and len(h) == 2
+    assert sum(len(x) for x, _ in pii.grids(h, h)) == 4 and not list(pii.grids(h[:0], h))
