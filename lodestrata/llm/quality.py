@@ -3,9 +3,9 @@
 Rules on one text: its words, code points in words, symbols, repeated lines and repeated five-word
 windows. Across documents: each line is normalised (A-Z lower-cased, white space collapsed) and hashed;
 per host, the distinct documents that hold it are counted. Documents with equal text are one, so that copies
-alone make no line frequent. Lines above the limit of their host, the larger of ``min_docs`` and
-``share`` of its distinct documents, are removed, and a document that loses more than ``depleted`` of its
-words is rejected.
+alone make no line frequent. Lines in more than ``share`` of their host's distinct documents, and in more
+than ``min_docs`` of them, are removed, and a document that loses more than ``depleted`` of its
+words is rejected. The share decides at every size of a host; in the smallest, a line of three documents is frequent.
 
 Counts combine before the shuffle; the frequent lines are kept as key files that tasks read block by
 block, and texts are never shuffled.
@@ -26,8 +26,9 @@ from .shared import CASED, NONSPACE, Words, byte_slices, in_blocks, key_blocks,
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 10, 5, 20
-#: A line is too frequent in more distinct documents of its host than either of these.
-MIN_DOCS, SHARE = 20, 0.02
+#: A line is too frequent in more than this share of its host's distinct documents. The floor only spares lines of one or
+#: two documents: three are above the share in any host that the floor decides (up to 100 documents).
+MIN_DOCS, SHARE = 2, 0.02
 DEPLETED = 0.5
 
 RESULT = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines_removed", "n_words_removed")] + [T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), T.StructField("clean_text", T.StringType())])

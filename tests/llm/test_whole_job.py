@@ -7,7 +7,7 @@ import random
 
 import pytest
 
-from lodestrata.llm import pii, queries, warc
+from lodestrata.llm import pii, quality, queries, warc
 
 from .test_operators import Memory, frame, ids
 
@@ -60,3 +60,23 @@ def test_terms_are_outside_all_base_spans():
     h, start, end = pii.term_hashes(text, pii.base_spans(text))
     assert [text[i:j] for i, j in zip(start, end, strict=True)] == ["cd", "ef"] and len(h) == 2
     assert sum(len(x) for x, _ in pii.grids(h, h)) == 4 and not list(pii.grids(h[:0], h))
+
+
+# ---- op10_quality ------------------------------------------------------------------------------
+
+
+def test_line_limit_is_the_same_at_every_host_size(spark):
+    r = random.Random(8)
+    own = lambda: " ".join(f"w{r.randint(0, 10**6)}" for _ in range(15))
+    rows, want = [], {}
+    for host, n in (("tiny", 3), ("small", 20), ("middle", 500), ("large", 2000)):
+        for k in range(n):
+            often = k < max(3, 0.036 * n)  # 3.6 % of a host is above the share, 1.6 % is not
+            seldom = n >= 500 and k >= n - 0.016 * n
+            text = "\n".join([own(), *["a footer that stands in many pages"] * often, *["a line that stands in few pages"] * seldom, own()])
+            want[len(rows)] = int(often)
+            rows.append((len(rows), text, "en", host, len(text)))
+    got = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    assert {x.doc_id: x.n_lines_removed for x in got} == want
+    two = [(i, f"{own()}\nthe same line in two", "en", "s", 1) for i in range(2)]
+    assert not any(x.n_lines_removed for x in quality.quality(spark.createDataFrame(two, "doc_id long, text string, lang string, source string, n_chars long")).collect())
