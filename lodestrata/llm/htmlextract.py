@@ -2,7 +2,8 @@
 
 Markup is stripped to lines, one a block element, and each line weighs as many characters as it shows.
 Lines of parts that are no article by their markup (menus, headers, footers, sidebars, notices, adverts,
-forms, comments, hidden parts) are left out, and lines that are little but links weigh nothing unless an
+forms, comments, hidden parts) are left out; a class, id or role does not exclude what holds a <main> or the largest
+<article>, or most of the text of a page without either. Lines that are little but links weigh nothing unless an
 <article> or <main> holds them. Where such an element holds a good part of the text, other lines weigh
 nothing too. The weights are summed over windows of ``WINDOW`` lines. Text surges where a window reaches
 the threshold (any weight at all, where an article element decides) while the line itself has weight; it dives where a whole window weighs nothing.
@@ -20,6 +21,8 @@ a result column are replaced.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -47,27 +50,89 @@ BARRED_NAMES = frozenset("ad ads adv advert adverts advertisement sponsor sponso
 #: Those that bar an element only where no part of its name speaks of the article itself.
 WEAK_NAMES, ARTICLE_NAMES = frozenset("header banner search related".split()), frozenset("article post entry content story text title".split())
 
+#: Beside these a part only says how a page is laid out.
+FORMS = frozenset("with without has have no not non enabled disabled".split())
 
-def barred(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is no part of an article; ``inside`` an article element a header is."""
+
+def named(values: list[str]) -> bool:
+    """Whether class, id or role name what is no article; a name such as "with-sidebar" or "share-enabled" does not."""
+    names = [{x.lower() for x in NAME_PART.findall(name)} for value in values for name in value.split()]
+    parts: set[str] = set().union(*names)
+    found = set().union(*(x & (BARRED_NAMES | WEAK_NAMES) for x in names if not x & FORMS))
+    return bool(found - WEAK_NAMES) or bool(found) and not parts & ARTICLE_NAMES
+
+
+def barred(name: str, attributes: str, inside: bool) -> str:
+    """"part" for an element that is no part of an article, "named" where only its class, id or role say so, else "";
+    ``inside`` an article element a header is."""
     if name in BARRED:
-        return True
+        return "part"
     if name == "header":
-        return not inside
+        return "" if inside else "part"
     if not attributes or name in ("html", "body", *HOLDERS):
-        return False
-    parts: set[str] = set()
+        return ""
+    values = []
     for key, a, b, c in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), a or b or c
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return True
+            return "part"
         if key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
+                return "part"
         elif key in ("class", "id", "role"):
-            parts.update(x.lower() for x in NAME_PART.findall(value))
-    found = parts & BARRED_NAMES | parts & WEAK_NAMES
-    return bool(found - WEAK_NAMES) or bool(found) and not parts & ARTICLE_NAMES
+            values.append(value)
+    return "named" if named(values) else ""
+
+
+class Extents:
+    """Where the elements of a page end, and how much text they hold."""
+
+    def __init__(self, html: str) -> None:
+        self.ends: dict[int, int] = {}
+        self.marks, self.sums = [0], [0]
+        holders: list[tuple[int, str]] = []
+        stack: list[tuple[str, int]] = []
+        opened: Counter[str] = Counter()
+        at, self.n = 0, len(html)
+        while at < self.n:
+            m = TOKEN.search(html, at)
+            if shown := sum(map(len, html[at : m.start() if m else self.n].split())):
+                self.marks.append(m.start() if m else self.n)
+                self.sums.append(self.sums[-1] + shown)
+            if not m:
+                break
+            at = m.end()
+            name, closing = (m[2] or "").lower(), bool(m[1])
+            if not closing and name in RAW:
+                end = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
+                at = end.end() if end else self.n
+            elif closing:
+                while opened[name]:
+                    other, start = stack.pop()
+                    opened[other] -= 1
+                    self.ends[start] = m.start()
+                    if other == name:
+                        break
+            elif name and name not in VOID and not m[3].endswith("/"):
+                stack.append((name, m.start()))
+                opened[name] += 1
+                if name in HOLDERS and not named([a or b or c for key, a, b, c in ATTRIBUTE.findall(m[3]) if key.lower() in ("class", "id", "role")]):
+                    holders.append((m.start(), name))
+        articles = [x for x, name in holders if name == "article"]
+        #: Every <main>, and the <article> with the most text.
+        self.holders = sorted({x for x, name in holders if name == "main"} | ({max(articles, key=self.shown)} if articles else set()))
+
+    def shown(self, start: int) -> int:
+        """Characters of text, without white space, in the element that starts there."""
+        upto = lambda pos: self.sums[bisect_right(self.marks, pos) - 1]
+        return upto(self.ends.get(start, self.n)) - upto(start)
+
+    def whole(self, start: int) -> bool:
+        """Whether the element holds the page's article element, or most of the text of a page without one."""
+        if self.holders:
+            k = bisect_right(self.holders, start)
+            return k < len(self.holders) and self.holders[k] < self.ends.get(start, self.n)
+        return 2 * self.shown(start) > self.sums[-1]
 
 
 class Line:
@@ -81,6 +146,7 @@ def lines(html: str) -> list[tuple[str, int, bool, bool]]:
     """(text, characters in links, is a heading, is held by an article element) of each block that is not barred."""
     out: list[Line] = []
     line: Line | None = None
+    extents: Extents | None = None
     stack: list[str] = []  # names open inside the barred part, the barred element first
     held = links = 0
     heading = False
@@ -128,7 +194,11 @@ def lines(html: str) -> list[tuple[str, int, bool, bool]]:
                 continue
         if name in HOLDERS:
             held = max(0, held + (-1 if closing else 1))
-        if not closing and name not in VOID and barred(name, m[3], held > 0):
+        why = barred(name, m[3], held > 0) if not closing and name not in VOID else ""
+        if why == "named":
+            extents = extents or Extents(html)
+            why = "" if extents.whole(m.start()) else why
+        if why:
             stack.append(name)
             line = None
         elif name in BLOCKS:

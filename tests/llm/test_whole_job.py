@@ -7,9 +7,9 @@ import random
 
 import pytest
 
-from lodestrata.llm import pii, quality, queries, warc
+from lodestrata.llm import htmlextract, pii, quality, queries, warc
 
-from .test_operators import Memory, frame, ids
+from .test_operators import PAGE, PROSE, TEXT, Memory, frame, ids
 
 
 # ---- op1_warc ----------------------------------------------------------------------------------
@@ -80,3 +80,22 @@ def test_line_limit_is_the_same_at_every_host_size(spark):
     assert {x.doc_id: x.n_lines_removed for x in got} == want
     two = [(i, f"{own()}\nthe same line in two", "en", "s", 1) for i in range(2)]
     assert not any(x.n_lines_removed for x in quality.quality(spark.createDataFrame(two, "doc_id long, text string, lang string, source string, n_chars long")).collect())
+
+
+# ---- op9_html ----------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("wrapper", ["div class='layout with-sidebar'", "div id='page' class='no-sidebar'", "section class='post-content share-enabled'", "div class='article-social'", "div class='page-widget'", "div role='search' id=hasMenu"])
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_wrappers_do_not_bar_the_article(wrapper, inner):
+    body = f"<{wrapper}><{inner}>{PROSE}</{inner}></{wrapper.split()[0]}>"
+    assert htmlextract.main_text(f"<html><body>{body}</body></html>") == TEXT
+    if inner != "div":
+        assert htmlextract.main_text(PAGE.replace("{body}", body)) == TEXT
+
+
+def test_named_parts_stay_barred():
+    side = "<div class='sidebar-left'><article>A teaser that is long enough to count as prose but for its place.</article></div>"
+    talk = "<div id='comments'>" + "<article class='comment-body'><p>A reader says more than the article itself does, and at length.</p></article>" * 20 + "</div>"
+    assert htmlextract.main_text(f"<body>{side}<article>{PROSE}</article>{talk}</body>") == TEXT
+    assert htmlextract.main_text(f"<body>{side}<div class='post'>{PROSE}</div><div class='widget' hidden><main>no</main></div></body>".replace("<article>", "<p>").replace("</article>", "</p>")) == TEXT
