@@ -332,3 +332,17 @@ def search(spark: SparkSession, index: Index, queries: dict[int, list[float]], p
     ranked = best.select("query_id", "vec_id").join(raw, "vec_id").select("query_id", "vec_id", "vector").mapInArrow(exact, "query_id long, vec_id long, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= params.k).select("query_id", "vec_id", "distance", "rank")
+
+
+def search_many(spark: SparkSession, index: Index, queries: DataFrame, params: SearchParams, path: str, metadata: DataFrame | None = None, *, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 128) -> DataFrame:
+    """``search`` for each row of ``queries``, however many; an invalid vector finds nothing.
+
+    Blocks of queries are collected one by one, and what a block finds is written to the folder ``path``, so that neither
+    the broadcast lookup tables nor the plan grow with the queries.
+    """
+    asked = queries.select(F.col(id_col).cast("long").alias("q"), F.col(vec_col).cast("array<double>").alias("v")).filter(valid(F.col("v"), index.config.dim))
+    blocks = max(1, -(-asked.count() // block))
+    for i in range(blocks):
+        mine = {r.q: list(r.v) for r in asked.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i).collect()}
+        search(spark, index, mine, params, metadata).write.mode("append").parquet(path)
+    return spark.read.schema("query_id long, vec_id long, distance double, rank int").parquet(path)

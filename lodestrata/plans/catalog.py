@@ -342,27 +342,63 @@ def _labels(spark, d):
     return table(spark, d, "labels").select(F.col("doc_id").alias("vec_id"), "quality", "toxic")
 
 
+def _asked(spark, d):
+    """The queries of a search: every row whose id is divisible by 20."""
+    return _vectors(spark, d).filter("vec_id % 20 = 0")
+
+
+def _search(spark, d, params, metric="euclidean_sq", labels=None):
+    return ivfpq.search_many(spark, _index(spark, d, metric), _asked(spark, d), params, f"{S.scratch(spark, 'ann')}/found", labels)
+
+
+def _every(spark, d, **more):
+    """All clusters probed, and every vector a candidate."""
+    return ivfpq.SearchParams(10, nprobe=8, candidates=_vectors(spark, d).count(), **more)
+
+
 def ann_exact(spark, d):
     """All clusters probed, every vector a candidate, re-ranked: equal to the exact search."""
-    p = ivfpq.SearchParams(10, nprobe=8, candidates=1_000_000)
-    return ivfpq.search(spark, _index(spark, d), {QUERY_ID: _query(spark, d)}, p).select("vec_id", F.round("distance", 5).alias("distance"))
+    return ivfpq.search(spark, _index(spark, d), {QUERY_ID: _query(spark, d)}, _every(spark, d)).select("vec_id", F.round("distance", 5).alias("distance"))
+
+
+def ann_exact_many(spark, d):
+    return _search(spark, d, _every(spark, d)).select("query_id", "vec_id", F.round("distance", 4).alias("distance"), "rank")
 
 
 def ann_filtered(spark, d):
-    p = ivfpq.SearchParams(10, nprobe=8, candidates=1_000_000, predicate=metadata.eq(F.col("quality"), 1))
+    p = _every(spark, d, predicate=metadata.eq(F.col("quality"), 1))
     return ivfpq.search(spark, _index(spark, d), {QUERY_ID: _query(spark, d)}, p, _labels(spark, d)).select("vec_id", F.round("distance", 5).alias("distance"))
 
 
+def ann_filtered_many(spark, d):
+    p = _every(spark, d, predicate=metadata.eq(F.col("quality"), 1))
+    return _search(spark, d, p, labels=_labels(spark, d)).select("query_id", "vec_id", F.round("distance", 4).alias("distance"), "rank")
+
+
 def ann_reranked(spark, d):
-    return ivfpq.search(spark, _index(spark, d, "cosine"), {QUERY_ID: _query(spark, d)}, ivfpq.SearchParams(10, nprobe=3))
+    return _search(spark, d, ivfpq.SearchParams(10, nprobe=3), "cosine")
 
 
 def ann_pq_only(spark, d):
-    return ivfpq.search(spark, _index(spark, d, "dot"), {QUERY_ID: _query(spark, d)}, ivfpq.SearchParams(10, nprobe=4, rerank=False))
+    return _search(spark, d, ivfpq.SearchParams(10, nprobe=4, rerank=False), "dot")
 
 
 def ann_diverse(spark, d):
-    return ivfpq.search(spark, _index(spark, d, "manhattan"), {QUERY_ID: _query(spark, d)}, ivfpq.SearchParams(10, nprobe=4, diversity=0.5))
+    return _search(spark, d, ivfpq.SearchParams(10, nprobe=4, diversity=0.5), "manhattan")
+
+
+def ann_recall(spark, d):
+    """The share of the ten nearest by brute force that the searches above find over all queries, and that
+    re-ranked searches find which probe more clusters."""
+    probed = lambda n: lambda s, d: _search(s, d, ivfpq.SearchParams(10, nprobe=n), "cosine")
+    searches = {"reranked": ("cosine", ann_reranked), "pq_only": ("dot", ann_pq_only), "diverse": ("manhattan", ann_diverse), "reranked_6": ("cosine", probed(6)), "reranked_8": ("cosine", probed(8))}
+    out = None
+    for name, (metric, found) in searches.items():
+        truth = knn.nearest_many(_vectors(spark, d), _asked(spark, d), 10, metric=metric).select("query_id", F.col("id").alias("vec_id"))
+        hits = found(spark, d).select("query_id", "vec_id", F.lit(1).alias("hit"))
+        one = truth.join(hits, ["query_id", "vec_id"], "left").agg(F.lit(name).alias("search"), F.count_distinct("query_id").alias("queries"), F.round(F.count("hit") / F.count("*"), 4).alias("recall"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def ann_upsert_remove(spark, d):

@@ -25,6 +25,13 @@ def knn(d: str, where: str = "") -> str:
     return f"SELECT vec_id, distance FROM (SELECT vec_id, round({d}, 5) AS distance FROM ({PAIR}) {where}) ORDER BY distance, vec_id LIMIT 10"
 
 
+def knn_many(d: str, where: str = "") -> str:
+    return f"""SELECT query_id, vec_id, round(distance, 4) AS distance, CAST(rank AS INT) AS rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (
+          SELECT a.vec_id AS query_id, b.vec_id AS vec_id, {d} AS distance FROM ({VEC}) a, ({VEC}) b {where})) WHERE rank <= 10"""
+
+
+L2_MANY = zipped("({x} - {y}) * ({x} - {y})", "a.e", "b.e")
 BITS = "list_transform(range(0, 16), lambda i: format('{:X}', (e[4*i+1] > 0)::INT * 8 + (e[4*i+2] > 0)::INT * 4 + (e[4*i+3] > 0)::INT * 2 + (e[4*i+4] > 0)::INT))"
 SQ = f"SELECT vec_id, e, list_min(e) AS lo, list_max(e) AS hi, list_transform(e, lambda x: CAST(floor((x - list_min(e)) * 255 / (list_max(e) - list_min(e)) + 0.5) AS BIGINT)) AS codes FROM ({VEC})"
 DQ = f"SELECT s.vec_id, list_transform(s.codes, lambda c: s.lo + c * (s.hi - s.lo) / 255) AS e, q.e AS q FROM ({SQ}) s, (SELECT e FROM ({VEC}) WHERE vec_id = 0) q"
@@ -165,6 +172,8 @@ SQL: dict[str, str] = {
         l.doc_id IS NULL OR (quality = 1 AND toxic = 0) AS p_both, l.doc_id IS NULL OR quality = 0 OR toxic = 1 AS p_either FROM embeddings e LEFT JOIN labels l ON l.doc_id = e.vec_id""",
     "ann_exact": knn(L2),
     "ann_filtered": knn(L2, "LEFT JOIN labels l ON l.doc_id = vec_id WHERE l.doc_id IS NULL OR quality = 1"),
+    "ann_exact_many": knn_many(L2_MANY, "WHERE a.vec_id % 20 = 0"),
+    "ann_filtered_many": knn_many(L2_MANY, "LEFT JOIN labels l ON l.doc_id = b.vec_id WHERE a.vec_id % 20 = 0 AND (l.doc_id IS NULL OR quality = 1)"),
     "ann_upsert_remove": "SELECT * FROM (SELECT vec_id, 16 AS code_bytes FROM embeddings UNION SELECT vec_id + CASE WHEN vec_id % 2 = 0 THEN 0 ELSE 100000 END, 16 FROM embeddings WHERE vec_id % 7 = 0) WHERE vec_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 5 = 0)",
     "blob_read": f"SELECT seq, sha256, CAST(length AS BIGINT) AS n_bytes, true AS intact FROM ({BLOBS})",
     "blob_range_read": "SELECT doc_id AS seq, substr(hex(encode(text)), 2001, 2400) AS data FROM documents WHERE doc_id = 3",
