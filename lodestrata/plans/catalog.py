@@ -141,6 +141,10 @@ def mm_grouped(spark, d):
     return multimap.grouped(_mm(spark, d), Bounds(10, 500)).select("k", F.array_join("values", ",").alias("vals"))
 
 
+def mm_grouped_whole(spark, d):
+    return multimap.grouped(_mm(spark, d), Bounds()).select("k", F.array_join("values", ",").alias("vals"))
+
+
 def mm_len(spark, d):
     return multimap.length(_mm(spark, d))
 
@@ -210,6 +214,11 @@ def merge_bytes_append(spark, d):
     return merge.bytes_append(e, ["user_id"], "b", "event_id", "log").select("user_id", F.decode("log", "utf-8").alias("log"))
 
 
+def merge_bytes_append_whole(spark, d):
+    e = _events(spark, d).withColumn("b", F.concat("event_type", F.lit("|")))
+    return merge.bytes_append(e, ["user_id"], "b", "event_id", "log").select("user_id", F.decode("log", "utf-8").alias("log"))
+
+
 def merge_fn(spark, d):
     """Keep the larger of existing + 1 and the operand modulo 1000; a key that ends below 900 is deleted."""
     step = lambda a, x: F.greatest(a + 1, x % 1000)

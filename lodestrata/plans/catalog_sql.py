@@ -132,6 +132,7 @@ SQL: dict[str, str] = {
     "kv_raw": "SELECT CAST(n_nationkey AS VARCHAR) AS key, hex(encode(n_name)) || '00' || hex(encode(CAST(n_regionkey AS VARCHAR))) AS value FROM nation",
     "mm_get": f"SELECT * FROM ({MM}) WHERE k = 7",
     "mm_range": f"SELECT * FROM ({MM}) WHERE k >= 10 AND k < 500",
+    "mm_grouped_whole": f"SELECT k, string_agg(CAST(v AS VARCHAR), ',' ORDER BY v) AS vals FROM ({MM}) GROUP BY k",
     "mm_grouped": f"SELECT k, string_agg(CAST(v AS VARCHAR), ',' ORDER BY v) AS vals FROM ({MM}) WHERE k >= 10 AND k < 500 GROUP BY k",
     "mm_len": f"SELECT count(*) AS len FROM ({MM})",
     "mm_value_count": f"SELECT k, count(*) AS n_values FROM ({MM}) GROUP BY k",
@@ -145,6 +146,7 @@ SQL: dict[str, str] = {
     "merge_max_min": f"SELECT user_id, max(n % 65536) AS high, min(n % 65536) AS low FROM ({EV}) GROUP BY user_id",
     "merge_bitwise_or": f"SELECT user_id, bit_or(n) AS bits FROM ({EV}) GROUP BY user_id",
     "merge_float_add": f"SELECT user_id, round(sum(value), 4) AS total FROM ({EV}) GROUP BY user_id",
+    "merge_bytes_append_whole": f"SELECT user_id, string_agg(event_type || '|', '' ORDER BY event_id) AS log FROM ({EV}) GROUP BY user_id",
     "merge_bytes_append": f"SELECT user_id, string_agg(substr(event_type, 1, 1) || '|', '' ORDER BY event_id) AS log FROM ({EV}) GROUP BY user_id",
     "merge_fn": FOLD,
     "merge_fn_python": FOLD,
