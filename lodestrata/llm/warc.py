@@ -8,7 +8,8 @@ The salvage reader takes an archive from front to back and checks every record:
 end, the version line, the header block, the content length, the two line ends after the block, and the
 SHA-256 digests of block and payload where stated. After a failed check it searches for the next member
 or version line from which a whole record passes, goes on there, and logs the bytes between as a quarantined gap
-(file, start, end, reason). It holds a window of the file and one record at a time. A header block may have any
+(file, start, end, reason). It holds a window of the file and one record or member at a time. Of a
+damaged member of several records those that pass are kept, and the member is logged as a gap too. A header block may have any
 length up to that of a record, so a url is kept whole however long it is.
 
 Archives are written one a task, under a draft name until whole, so a repeated attempt replaces an equal
@@ -188,42 +189,57 @@ def parse(get, start: int) -> tuple[dict[str, str], bytes, int]:
     return fields, rest[:n], end + 8 + n
 
 
-def inflate(w: Window, start: int) -> tuple[bytes, int]:
-    """(content, end) of the gzip member at start."""
+def inflate(w: Window, start: int) -> tuple[bytes, int, str]:
+    """(content, end, "") of the gzip member at start, or after damage (what comes before it, start, reason)."""
     z, pos, out, total = zlib.decompressobj(31), start, [], 0
-    try:
-        while not z.eof:
-            part = w.get(pos, 1 << 16)
-            if not part:
-                raise Damage("the member is cut short")
+    while not z.eof:
+        part, before = w.get(pos, 1 << 16), z.copy()
+        if not part:
+            return b"".join(out), start, "the member is cut short"
+        try:
             got = z.decompress(part)
-            if pos == start and len(got) >= 5 and not got.startswith(b"WARC/"):
-                raise Damage("the member holds no record")
-            total += len(got)
-            if total > RECORD_MOST:
-                raise Damage("the member is too long")
-            out.append(got)
-            pos += len(part)
-    except zlib.error as e:
-        raise Damage(f"the member can't be read ({e})") from None
-    return b"".join(out), pos - len(z.unused_data)
-
-
-def read_at(w: Window, pos: int) -> list[Record]:
-    """The records at pos: one, or those of one gzip member."""
-    lead = w.get(pos, 3)
-    if lead == MEMBER:
-        raw, end = inflate(w, pos)
-        out, at = [], 0
-        while at < len(raw):
+        except zlib.error as e:
+            try:
+                for i in range(len(part)):
+                    out.append(before.decompress(part[i : i + 1]))
+            except zlib.error:
+                pass
+            return b"".join(out), start, f"the member can't be read ({e})"
+        if pos == start and len(got) >= 5 and not got.startswith(b"WARC/"):
+            raise Damage("the member holds no record")
+        total += len(got)
+        if total > RECORD_MOST:
+            raise Damage("the member is too long")
+        out.append(got)
+        pos += len(part)
+    return b"".join(out), pos - len(z.unused_data), ""
+
+
+def read_at(w: Window, pos: int) -> tuple[list[Record], int, str]:
+    """(records, end, "") at pos: one record, or those of one gzip member.
+
+    Of a damaged member, the records that pass and the reason of the damage; the end is then that of the member, or pos
+    where its stream is damaged. Before such damage only records with a block digest pass, as the member's CRC can't tell.
+    """
+    if w.get(pos, 3) != MEMBER:
+        fields, block, n = parse(lambda i, k: w.get(pos + i, k), pos)
+        return [Record(pos, pos + n, fields, block)], pos + n, ""
+    raw, end, reason = inflate(w, pos)
+    broken, out, at = bool(reason), [], 0
+    while 0 <= at < len(raw):
+        try:
             fields, block, n = parse(lambda i, k, at=at: raw[at + i : at + i + k], at)
-            out.append(Record(pos, end, fields, block))
-            at += n
-        if not out:
-            raise Damage("the member is empty")
-        return out
-    fields, block, n = parse(lambda i, k: w.get(pos + i, k), pos)
-    return [Record(pos, pos + n, fields, block)]
+            if broken and not fields.get("warc-block-digest", "").startswith("sha256:"):
+                raise Damage(reason)
+        except Damage as e:
+            reason = reason or str(e)
+            at = raw.find(b"WARC/", at + 1)
+            continue
+        out.append(Record(pos, end, fields, block))
+        at += n
+    if not out:
+        raise Damage(reason or "the member is empty")
+    return out, end, reason
 
 
 def salvage(f) -> Iterator[Record | tuple[int, int, str]]:
@@ -232,7 +248,7 @@ def salvage(f) -> Iterator[Record | tuple[int, int, str]]:
     pos, gap, reason = 0, None, ""
     while pos < w.size:
         try:
-            found = read_at(w, pos)
+            found, end, damage = read_at(w, pos)
         except Damage as e:
             if gap is None:
                 gap, reason = pos, str(e)
@@ -242,7 +258,12 @@ def salvage(f) -> Iterator[Record | tuple[int, int, str]]:
             yield gap, pos, reason
             gap = None
         yield from found
-        pos = found[-1].end
+        if damage:  # what didn't pass of the member is a gap, to its end or to what comes next
+            gap, reason = pos, damage
+        if damage and end > pos:
+            yield gap, end, reason
+            gap = None
+        pos = end if end > pos else w.find(pos + 1)
     if gap is not None:
         yield gap, w.size, reason
 

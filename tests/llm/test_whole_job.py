@@ -99,3 +99,23 @@ def test_named_parts_stay_barred():
     talk = "<div id='comments'>" + "<article class='comment-body'><p>A reader says more than the article itself does, and at length.</p></article>" * 20 + "</div>"
     assert htmlextract.main_text(f"<body>{side}<article>{PROSE}</article>{talk}</body>") == TEXT
     assert htmlextract.main_text(f"<body>{side}<div class='post'>{PROSE}</div><div class='widget' hidden><main>no</main></div></body>".replace("<article>", "<p>").replace("</article>", "</p>")) == TEXT
+
+
+# ---- op1_warc, members of several records ------------------------------------------------------
+
+
+def test_records_beside_damage_in_one_member():
+    r = random.Random(3)
+    raw = [page(i, f"http://x/{i}", bytes(r.randrange(32, 127) for _ in range(3000))) for i in range(30)]
+    bad = raw[7].replace(b"HTTP/1.1", b"HTTP/1.2")
+    data = warc.gzip_member(b"".join([*raw[:7], bad, *raw[8:]])) + warc.gzip_member(page(99, "u"))
+    found = list(warc.salvage(Memory(data)))
+    assert ids(found) == [i for i in range(30) if i != 7] + [99]
+    assert [g[0] for g in found if isinstance(g, tuple)] == [0]
+    whole = warc.gzip_member(b"".join(raw))
+    late = bytearray(whole)
+    late[len(whole) * 2 // 3 : len(whole) * 2 // 3 + 40] = bytes(40)
+    for damaged in (bytes(late), whole[: len(whole) * 2 // 3]):
+        found = list(warc.salvage(Memory(damaged + warc.gzip_member(page(99, "u")))))
+        assert len(ids(found)) >= 18 and ids(found)[:18] == list(range(18)) and ids(found)[-1] == 99
+        assert len(ids(found)) == len(set(ids(found))) < 31 and any(isinstance(g, tuple) for g in found)
