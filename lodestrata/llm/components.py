@@ -3,7 +3,7 @@
 Every round is one join, one aggregation with map-side combining and one more join, written to the
 shared folder; nothing but the number of changed labels reaches the driver. A vertex with very many
 edges is no single task's work: sums combine before the shuffle and skewed joins are split by the
-adaptive planner.
+adaptive planner. Nor is a label that very many vertices share: those few labels are joined by broadcast.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_dir, work_dir
+from .shared import drop_dir, join_hot, work_dir
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -24,7 +24,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     both.hint("rebalance").write.parquet(f"{folder}/edges")
     both = spark.read.schema(both.schema).parquet(f"{folder}/edges")
     labels = both.groupBy("u").agg(F.min("v").alias("label"))
-    step = 0
+    step = total = 0
     while True:
         labels.hint("rebalance").write.parquet(f"{folder}/{step}")
         labels = spark.read.schema(labels.schema).parquet(f"{folder}/{step}")
@@ -32,10 +32,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             drop_dir(spark, f"{folder}/{step - 1}")
             if not step % 2 and labels.filter("changed").isEmpty():
                 return labels.select(F.col("u").alias("node"), "label")
+        total = total or labels.count()
         step += 1
         if step % 2:  # each vertex takes the smallest label among its neighbours
             near = both.join(labels.select(F.col("u").alias("v"), "label"), "v")
             labels = near.groupBy("u").agg(F.min("label").alias("label"), F.max(F.when(F.col("u") == F.col("v"), F.col("label"))).alias("was"))
         else:  # and then the label of its label
             up = labels.select(F.col("u").alias("label"), F.col("label").alias("up"))
-            labels = labels.join(up, "label").select("u", F.col("up").alias("label"), (F.col("up") != F.col("was")).alias("changed"))
+            labels = join_hot(labels, up, "label", total).select("u", F.col("up").alias("label"), (F.col("up") != F.col("was")).alias("changed"))

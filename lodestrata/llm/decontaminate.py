@@ -7,9 +7,11 @@ that is rarest in the corpus. Candidates pass a length bound (the window fits in
 and a positional bound (the shingle's place in the window fixes where it would begin and end), and
 are then verified word by word.
 
-The index of windows is built in blocks of at most ``block_windows`` windows, kept as files in the
-shared folder and read by each task, one block at a time: neither the driver nor a task holds more than a
-block, however large the benchmark is. Documents are never shuffled.
+How many documents hold each shingle of the benchmark is counted in one pass over the documents: tasks pick out the
+words that pass a bitmap of the benchmark's shingles, and only those are shuffled and joined. The index of windows is
+built in blocks of at most ``block_windows`` windows, kept as files in the shared folder and read by each task,
+one block at a time, and where there are several, once for ``GROUP_BYTES`` of text: neither the driver nor a task holds
+more than a block, however large the benchmark is. Documents are never shuffled.
 
 Defined results: a null or empty text has no words and no hits. A null benchmark text, or one without
 words, gives no window; equal windows of several items count for each of them; a null item id is
@@ -22,15 +24,16 @@ from __future__ import annotations
 import io
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import ALNUM, Words, drop_dir, map_texts, open_shared, work_dir
+from .shared import ALNUM, Words, byte_slices, drop_dir, map_groups, map_texts, open_shared, plain_strings, small_batches, together, work_dir
 
-#: Words of a shingle of a window, and windows of an index block.
-SHINGLE, BLOCK_WINDOWS = 3, 200_000
+#: Words of a shingle of a window, windows of an index block, and bits of a place in the bitmap of shingles (16 MB).
+SHINGLE, BLOCK_WINDOWS, BITMAP = 3, 200_000, 27
 
 RESULT = T.StructType(
     [
@@ -143,42 +146,43 @@ def load(uri: str) -> Block:
         return pickle.load(io.BytesIO(f.read()))
 
 
-def frequencies(documents: DataFrame, text_col: str, tokens: dict[int, np.ndarray], uri: str) -> dict[int, dict[int, int]]:
-    """In how many documents each of the block's shingles occurs; a block bounds what is collected."""
-    with open_shared(uri, "wb") as f:
-        np.savez(f, **{str(k): v for k, v in tokens.items()})
+def bitmap(tokens: np.ndarray, into: np.ndarray) -> None:
+    at = (tokens >> np.uint64(64 - BITMAP)).astype(np.int64)
+    np.bitwise_or.at(into, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+
+def may_hold(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places of the hashes that pass the bitmap."""
+    at = (h >> np.uint64(64 - BITMAP)).astype(np.int64)
+    return np.flatnonzero(bits[at >> 3] & (1 << (at & 7)).astype(np.uint8))
 
-    def run(batches):
-        from .shared import byte_slices, plain_strings
 
+def frequencies(documents: DataFrame, text_col: str, uri: str) -> DataFrame:
+    """(k, token, n): in how many documents each shingle of k words occurs, of those that pass the bitmap."""
+
+    def run(batches):
         with open_shared(uri, "rb") as f:
-            known = {int(k): v for k, v in np.load(io.BytesIO(f.read())).items()}
-        seen = {k: np.zeros(len(v), np.int64) for k, v in known.items()}
+            bits = np.frombuffer(f.read(), np.uint8)
         for b in batches:
             for part in byte_slices(b, 0):
                 w = Words(plain_strings(part.column(0)), ALNUM)
                 row = w.rows()
-                for k, v in known.items():
-                    if len(v):
-                        h, fits = w.shingles(k)
-                        at, hit = member(v, h)
-                        at, hit = at[fits[at]], hit[fits[at]]
-                        pair = np.unique(row[at] * np.int64(len(v)) + hit)
-                        seen[k] += np.bincount(pair % len(v), minlength=len(v))
-        for k, n in seen.items():
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some), pa.array(n[some])], names=["k", "i", "n"])
-
-    counts = documents.select(F.col(text_col).cast("string")).mapInArrow(run, "k int, i long, n long").groupBy("k", "i").agg(F.sum("n").alias("n")).collect()
-    out: dict[int, dict[int, int]] = {k: {} for k in tokens}
-    for r in counts:
-        out[r.k][int(tokens[r.k][r.i])] = r.n
-    return out
+                for k in range(1, SHINGLE + 1):
+                    h, fits = w.shingles(k)
+                    at = may_hold(bits, h + np.uint64(k))
+                    at = at[fits[at]]
+                    if len(at):
+                        pair = np.unique(np.stack([row[at].astype(np.uint64), h[at]], 1), axis=0)
+                        token, n = np.unique(pair[:, 1], return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(token), k, np.int32)), pa.array(token.view(np.int64)), pa.array(n)], names=["k", "token", "n"])
+
+    return documents.select(F.col(text_col).cast("string")).mapInArrow(run, "k int, token long, n long").groupBy("k", "token").agg(F.sum("n").alias("n"))
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, *, text_col: str = "text", keep: list[str] | None = None, size: int = 10, item_id_col: str = "item_id", item_text_col: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """Kept columns of ``documents`` and: n_words, n_hit (words inside an occurrence of a window), items (sorted), spans (runs of hit words, end exclusive), contaminated."""
     spark = documents.sparkSession
+    small_batches(spark)
     folder = work_dir(spark, "benchmark-index")
     windows = benchmark_windows(benchmark, size, item_id_col, item_text_col)
     windows.write.parquet(f"{folder}/windows")
@@ -186,14 +190,30 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, text_col: str =
     n = windows.select("window").distinct().count()
     blocks = -(-n // block_windows)
     uris = []
+    bits = np.zeros(1 << (BITMAP - 3), np.uint8)
     for i in range(blocks):
         mine = windows.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == i).groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items")).orderBy("window").collect()
         if not mine:
             continue
         block = Block([r.window for r in mine], [list(r["items"]) for r in mine])
-        block.order(frequencies(documents, text_col, block.tokens, f"{folder}/tokens-{i}.npz"))
+        for k, tokens in block.tokens.items():
+            bitmap(tokens + np.uint64(k), bits)
         save(uri := f"{folder}/block-{i}.bin", block)
         uris.append(uri)
+    if uris:
+        with open_shared(f"{folder}/bitmap.bin", "wb") as f:
+            f.write(bits.tobytes())
+        known = frequencies(documents, text_col, f"{folder}/bitmap.bin")
+        known.write.parquet(f"{folder}/frequencies")
+        known = spark.read.schema(known.schema).parquet(f"{folder}/frequencies")
+    for uri in uris:
+        block = load(uri)
+        mine = spark.createDataFrame(pd.DataFrame({"k": np.concatenate([np.full(len(t), k, np.int32) for k, t in block.tokens.items()]), "token": np.concatenate(list(block.tokens.values())).view(np.int64)}))
+        counts: dict[int, dict[int, int]] = {k: {} for k in block.tokens}
+        for r in known.join(F.broadcast(mine), ["k", "token"]).collect():  # a block's shingles at most
+            counts[r.k][r.token & 0xFFFFFFFFFFFFFFFF] = r.n
+        block.order(counts)
+        save(uri, block)
     drop_dir(spark, f"{folder}/windows")
 
     def make():
@@ -205,19 +225,26 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, text_col: str =
                 held[uri] = load(uri)
             return held[uri]
 
-        def f(texts: pa.StringArray) -> list[pa.Array]:
-            w = Words(texts, ALNUM)
-            row, total = w.rows(), len(w.hash)
-            cover = np.zeros(total + 1, np.int64)
-            items: dict[int, set[str]] = {}
-            for uri in uris:
+        def f(slices: list[list[pa.Array]]) -> list[list[pa.Array]]:
+            cover: list[np.ndarray | None] = [None] * len(slices)
+            items: list[dict[int, set[str]]] = [{} for _ in slices]
+            held = Words(slices[0][0], ALNUM) if len(slices) == 1 else None
+            for uri in uris:  # a block serves all slices before the next is read
                 block = get(uri)
-                begin, win = occurrences(w, block, row)
-                np.add.at(cover, begin, 1)
-                np.add.at(cover, begin + block.length[win], -1)
-                for r, x in np.unique(np.stack([row[begin], win], 1), axis=0) if len(begin) else ():
-                    items.setdefault(int(r), set()).update(block.items[x])
-            hit = np.cumsum(cover[:-1]) > 0
+                for i, (texts,) in enumerate(slices):
+                    w = held or Words(texts, ALNUM)
+                    if cover[i] is None:
+                        cover[i] = np.zeros(len(w.hash) + 1, np.int32)
+                    row = w.rows()
+                    begin, win = occurrences(w, block, row)
+                    np.add.at(cover[i], begin, 1)
+                    np.add.at(cover[i], begin + block.length[win], -1)
+                    for r, x in np.unique(np.stack([row[begin], win], 1), axis=0) if len(begin) else ():
+                        items[i].setdefault(int(r), set()).update(block.items[x])
+            return [result(held or Words(texts, ALNUM), c, found) for (texts,), c, found in zip(slices, cover, items, strict=True)]
+
+        def result(w: Words, cover: np.ndarray | None, items: dict[int, set[str]]) -> list[pa.Array]:
+            hit = np.cumsum(cover[:-1]) > 0 if cover is not None else np.zeros(len(w.hash), bool)
             sums = np.concatenate(([0], np.cumsum(hit)))
             n_hit = sums[w.bounds[1:]] - sums[w.bounds[:-1]]
             spans = []
@@ -237,4 +264,4 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, text_col: str =
 
         return f
 
-    return map_texts(documents, text_col, keep, RESULT, make)
+    return map_groups(documents, [documents[text_col]], keep, RESULT, make, together(uris))

@@ -3,19 +3,23 @@
 Markup is stripped to lines, one a block element, and each line weighs as many characters as it shows.
 Lines of parts that are no article by their markup (menus, headers, footers, sidebars, notices, adverts,
 forms, comments, hidden parts) are left out; a class, id or role does not exclude what holds a <main> or the largest
-<article>, or most of the text of a page without either. Lines that are little but links weigh nothing unless an
-<article> or <main> holds them. Where such an element holds a good part of the text, other lines weigh
-nothing too. The weights are summed over windows of ``WINDOW`` lines. Text surges where a window reaches
-the threshold (any weight at all, where an article element decides) while the line itself has weight; it dives where a whole window weighs nothing.
-The lines from each surge point, reaching back over headings, to its dive point are the text.
+<article>, or most of the text of a page without either. A line that is little but links weighs nothing, and on a page
+with an <article> or <main> a line outside weighs ``OUTSIDE`` of its characters.
+
+What is left is decided by the distribution alone, on every page. Lines inside and outside of an article element are
+blocks of their own. In each, the weights are summed over windows of ``WINDOW`` lines. Text surges where a window reaches
+``THRESHOLD`` (or the largest sum, where the page, or all of its article elements, have none so large) and dives where a
+whole window weighs nothing. The lines from the surge to the dive are the text; a surge reaches back over headings, and within
+an article element over all lines of weight.
 
 Character references are decoded, white space within a block becomes one space (a <br> or a table cell is
 white space), and blocks are joined by one line feed. Nothing else is dropped or capped.
 
 Defined results: null or empty html, or a page without text, gives "". Scripts and styles end at their own
-end tag, whatever they hold; a tag cut off by the end of the page is dropped; an excluded part that is never
-closed ends where an <article> or <main> begins. Repeated rows get equal results. Input columns named like
-a result column are replaced.
+end tag, whatever they hold; a tag cut off by the end of the page is dropped; a tag whose quotes never close ends at its
+first ">", and so does every later one; an excluded part that is never closed ends where an <article> or <main>
+begins. Work grows with the length of a page, whatever it holds. Repeated rows get equal results. Input columns named
+like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +27,9 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterator
 from html import unescape
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,14 +38,20 @@ from pyspark.sql import types as T
 from .shared import map_texts
 
 WINDOW, THRESHOLD = 3, 80
-#: Share of the characters that must be links for a line to weigh nothing; share of the text that an article element must hold.
-LINKS, ARTICLE_SHARE = 0.7, 0.25
-
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|<(?=/?[a-zA-Z])[^<]*\Z", re.S)
+#: Share of the characters that must be links for a line to weigh nothing; weight of a character outside of the page's article elements.
+LINKS, OUTSIDE = 0.7, 0.25
+
+REST = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?=/?[a-zA-Z])[^<]*+\Z"
+TOKEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|" + REST, re.S)
+#: The same, but blind to quotes; and for what follows the last ">".
+LOOSE, CUT = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|" + REST, re.S), re.compile(r"()()()(?!)|" + REST, re.S)
+UNCLOSED = re.compile(r"<!--|<!\[CDATA\[|<[!?]|(</?[a-zA-Z])")
+CLOSING = re.compile(r"</([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for name in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table caption tbody thead tfoot tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -84,6 +96,18 @@ def barred(name: str, attributes: str, inside: bool) -> str:
     return "named" if named(values) else ""
 
 
+def tokens(html: str) -> Iterator[tuple[str, re.Match | None]]:
+    """(text before it, tag, comment or the like) one after another, the last with None; ``send`` moves the place."""
+    at, n, last, token = 0, len(html), html.rfind(">"), TOKEN
+    while at < n:
+        m = (CUT if at > last else token).search(html, at)
+        if token is TOKEN and at <= last and (x := UNCLOSED.search(html, at)) and x[1] and x.start() <= last and (not m or m.start() > x.start()):
+            token = LOOSE  # quotes that never close: not tried again, for each try reads to the end
+            m = token.search(html, at)
+        go = yield html[at : m.start() if m else n], m
+        at = go if go is not None else m.end() if m else n
+
+
 class Extents:
     """Where the elements of a page end, and how much text they hold."""
 
@@ -93,19 +117,22 @@ class Extents:
         holders: list[tuple[int, str]] = []
         stack: list[tuple[str, int]] = []
         opened: Counter[str] = Counter()
-        at, self.n = 0, len(html)
-        while at < self.n:
-            m = TOKEN.search(html, at)
-            if shown := sum(map(len, html[at : m.start() if m else self.n].split())):
+        self.n, go = len(html), None
+        scan = tokens(html)
+        while True:
+            try:
+                before, m = scan.send(go)
+            except StopIteration:
+                break
+            go = None
+            if shown := sum(map(len, before.split())):
                 self.marks.append(m.start() if m else self.n)
                 self.sums.append(self.sums[-1] + shown)
             if not m:
                 break
-            at = m.end()
             name, closing = (m[2] or "").lower(), bool(m[1])
             if not closing and name in RAW:
-                end = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
-                at = end.end() if end else self.n
+                go = raw_end(html, name, m.end())
             elif closing:
                 while opened[name]:
                     other, start = stack.pop()
@@ -142,15 +169,22 @@ class Line:
         self.parts, self.links, self.heading, self.held = [], 0, heading, held
 
 
+def raw_end(html: str, name: str, at: int) -> int:
+    """Where the raw text of an element ends, its end tag included."""
+    end = RAW_ENDS[name].search(html, at)
+    return end.end() if end else len(html)
+
+
 def lines(html: str) -> list[tuple[str, int, bool, bool]]:
     """(text, characters in links, is a heading, is held by an article element) of each block that is not barred."""
     out: list[Line] = []
     line: Line | None = None
     extents: Extents | None = None
+    closes: dict[str, int] | None = None  # where each name is closed last
     stack: list[str] = []  # names open inside the barred part, the barred element first
+    opened: Counter[str] = Counter()
     held = links = 0
     heading = False
-    at, n = 0, len(html)
 
     def text(s: str) -> None:
         nonlocal line
@@ -162,13 +196,17 @@ def lines(html: str) -> list[tuple[str, int, bool, bool]]:
             if links:
                 line.links += len(s)
 
-    while at < n:
-        m = TOKEN.search(html, at)
+    scan, go = tokens(html), None
+    while True:
+        try:
+            before, m = scan.send(go)
+        except StopIteration:
+            break
+        go = None
         if not stack:
-            text(html[at : m.start() if m else n])
+            text(before)
         if not m:
             break
-        at = m.end()
         name = (m[2] or "").lower()
         if not name:
             if not stack and m[0].startswith("<![CDATA["):
@@ -176,21 +214,28 @@ def lines(html: str) -> list[tuple[str, int, bool, bool]]:
             continue
         closing = bool(m[1])
         if not closing and name in RAW:
-            end = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
-            at = end.end() if end else n
+            go = raw_end(html, name, m.end())
             continue
         if stack:
-            if name in HOLDERS and not closing and stack[0] not in HOLDERS and not closes(html, m.end(), stack[0]):
-                stack.clear()
-            elif closing:
-                if name in stack:
-                    while stack and stack.pop() != name:
-                        pass
+            if name in HOLDERS and not closing and stack[0] not in HOLDERS:
+                if closes is None:
+                    closes = {x[1].lower(): x.start() for x in CLOSING.finditer(html)}
+                if closes.get(stack[0], -1) < m.end():
+                    stack.clear()
+                    opened.clear()
+            if stack and closing:
+                if opened[name]:
+                    while stack:
+                        other = stack.pop()
+                        opened[other] -= 1
+                        if other == name:
+                            break
                 if stack or name not in BLOCKS:
                     continue
-            else:
+            elif stack:
                 if name not in VOID and not m[3].endswith("/"):
                     stack.append(name)
+                    opened[name] += 1
                 continue
         if name in HOLDERS:
             held = max(0, held + (-1 if closing else 1))
@@ -200,6 +245,7 @@ def lines(html: str) -> list[tuple[str, int, bool, bool]]:
             why = "" if extents.whole(m.start()) else why
         if why:
             stack.append(name)
+            opened[name] += 1
             line = None
         elif name in BLOCKS:
             line = None
@@ -217,45 +263,49 @@ def lines(html: str) -> list[tuple[str, int, bool, bool]]:
     return [x for x in shown if x[0]]
 
 
-def closes(html: str, at: int, name: str) -> bool:
-    return f"</{name}" in html[at:].lower()
-
-
-def main_text(html: str | None, window: int = WINDOW, threshold: int = THRESHOLD) -> str:
-    found = lines(html or "")
-    if not found:
-        return ""
-    total, inside = sum(len(x[0]) for x in found), sum(len(x[0]) for x in found if x[3])
-    only_held = inside >= ARTICLE_SHARE * total
-    weight = []
-    for shown, links, _, held in found:
-        if only_held:
-            weight.append(len(shown) if held else 0)
-        else:
-            weight.append(0 if links >= LINKS * len(shown) else len(shown))
-    n = len(found)
-    sums = [0] * (n + window + 1)
+def window_sums(weight: list[float], window: int) -> list[float]:
+    """Of each line, the weight of the window that begins there."""
+    n = len(weight)
+    sums = [0.0] * (n + 1)
     for i in range(n - 1, -1, -1):
         sums[i] = sums[i + 1] + weight[i] - (weight[i + window] if i + window < n else 0)
-    least = min(1 if only_held else threshold, max(sums))  # within an article element any text is a surge
-    if not least:
-        return ""
-    keep: list[str] = []
+    return sums[:n]
+
+
+def surges(weight: list[float], sums: list[float], least: float, back: list[bool]) -> Iterator[tuple[int, int]]:
+    """(begin, end) of each run of lines from a surge to its dive; ``back`` says over which lines a surge reaches back."""
     i = done = 0
-    while i < n:
+    while i < len(weight):
         if not weight[i] or sums[i] < least:
             i += 1
             continue
         begin = i
-        while begin > done and weight[begin - 1] and found[begin - 1][2]:
+        while begin > done and weight[begin - 1] and back[begin - 1]:
             begin -= 1
-        while i < n and sums[i]:
+        while i < len(weight) and sums[i]:
             i += 1
         end = i
         while end > begin and not weight[end - 1]:
             end -= 1
-        keep += [found[k][0] for k in range(begin, end) if not only_held or found[k][3]]
+        yield begin, end
         done = i
+
+
+def main_text(html: str | None, window: int = WINDOW, threshold: int = THRESHOLD) -> str:
+    found = lines(html or "")
+    articles = any(held for *_, held in found)
+    blocks = []  # (held, lines, weights, window sums) of each run of lines inside or outside of an article element
+    for held, group in groupby(found, key=lambda x: x[3]):
+        own = list(group)
+        weight = [0.0 if links >= LINKS * len(shown) and not held else len(shown) * (OUTSIDE if articles and not held else 1.0) for shown, links, *_ in own]
+        blocks.append((held, own, weight, window_sums(weight, window)))
+    most = max((x for held, _, _, sums in blocks if held or not articles for x in sums), default=0)
+    keep: list[str] = []
+    for held, own, weight, sums in blocks:
+        least = threshold if articles and not held else min(threshold, most)
+        if least:
+            for begin, end in surges(weight, sums, least, [held or x[2] for x in own]):
+                keep += [x[0] for x in own[begin:end]]
     return "\n".join(keep)
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import NONSPACE, Words, byte_slices, pass_through, plain_strings, small_batches, work_dir
+from .shared import NONSPACE, Words, byte_slices, join_hot, pass_through, plain_strings, small_batches, work_dir
 
 BANDS, ROWS = 42, 6
 #: Signature values of a comparison step, the miss probability of pruning, and rows of a block.
@@ -317,7 +317,7 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     labels = s.put(s.run(), "labels")
     nodes = s.nodes.select("__node", "nid", "rep").join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
     reps = nodes.groupBy("label").agg(F.min("rep").alias("rep"))
-    of_node = s.put(nodes.select("__node", "label").join(reps, "label").select("__node", F.col("rep.id").alias("__cid"), F.col("rep.row").alias("__crow")), "result")
+    of_node = s.put(join_hot(nodes.select("__node", "label"), reps, "label", s.nodes.count()).select("__node", F.col("rep.id").alias("__cid"), F.col("rep.row").alias("__crow")), "result")
     out = s.rows.join(of_node, "__node", "left")
     alone = F.col("__node").isNull()
     cid = F.when(alone, F.col("__id")).otherwise(F.col("__cid"))

@@ -127,6 +127,7 @@ def cut_pieces(documents: DataFrame, tokenizer_path: str, *, text_col: str, keep
                 cells = [ids[r][4 * i : 4 * (i + k)] for r, i, k in zip(row.tolist(), start.tolist(), length.tolist(), strict=True)]
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays([*[s.column(i).take(at) for i in range(s.num_columns - 1)], pa.array(start), pa.array(length), pa.array(cells, pa.binary()), pa.array(total[row]), pa.array(np.full(len(row), part, np.int64)), pa.array(rank)], names=schema.names)
+        enc.rest()
 
     return documents.select(*[documents[c] for c in kept], documents[text_col].cast("string").alias("__text")).mapInArrow(run, schema)
 

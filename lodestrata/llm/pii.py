@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import byte_slices, in_blocks, key_blocks, map_texts, materialise, mix, plain_strings, raw_bytes, row_counts, small_batches
+from .shared import byte_slices, in_blocks, key_blocks, map_groups, materialise, mix, plain_strings, raw_bytes, row_counts, small_batches, together
 
 SUPPORT, DISCLOSURE = 3, 0.9
 #: Pairs of entities and terms that a task holds at a time.
@@ -125,26 +125,52 @@ def flags(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     return digit, digit | (row_counts(data == 64, offsets) > 0)
 
 
-def with_entities(batches):
-    """Lists of (text, base spans, entities) of the texts that have any, a slice at a time."""
+def with_entities(batches, most: int = 0):
+    """Lists of (text, base spans, entities) of the texts that have any, about ``most`` bytes of such texts at a time."""
+    out, size = [], 0
     for b in batches:
         for s in byte_slices(b, 0):
             texts = plain_strings(s.column(0))
             digit, some = flags(texts)
-            out = []
             for i in np.flatnonzero(some).tolist():
                 t = texts[i].as_py()
                 if own := base_spans(t, bool(digit[i])):
                     out.append((t, own, entity_hashes(t, own)))
-            if out:
+                    size += len(t)
+            if out and size >= most:
                 yield out
+                out, size = [], 0
+    if out:
+        yield out
 
 
 def known(keys: list[str], arrays: list[np.ndarray]) -> list[np.ndarray]:
-    """Which elements of each array are keys of the set."""
+    """Which elements of each array are keys of the set; one look-up for all."""
+    if not arrays:
+        return []
     return np.split(in_blocks(keys, np.concatenate(arrays)), np.cumsum([len(x) for x in arrays])[:-1])
 
 
+def disclosed(keys: list[str], sets: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Of each text's (entities, terms), the terms that disclose one of the entities. Look-ups are of about GRID * 8 pairs."""
+    told, held, size = [[] for _ in sets], [], 0
+
+    def flush() -> None:
+        for (i, terms, _), hit in zip(held, known(keys, [x[2] for x in held]), strict=True):
+            told[i].append(terms[hit])
+        held.clear()
+
+    for i, (e, t) in enumerate(sets):
+        for x, y in grids(e, t):
+            held.append((i, y, pair_keys(x, y)))
+            size += len(y)
+            if size >= GRID * 8:
+                flush()
+                size = 0
+    flush()
+    return [np.unique(np.concatenate(x)) if x else np.zeros(0, np.uint64) for x in told]
+
+
 def joined(parts, names: list[str]):
     """Record batches of the parts' columns."""
     held, n = [], 0
@@ -180,7 +206,7 @@ def disclosing(documents: DataFrame, text_col: str, support: int, disclosure: fl
 
     def words(batches):
         def parts():
-            for found in with_entities(batches):
+            for found in with_entities(batches, together(live)):
                 for (t, own, _), hit in zip(found, known(live, [x[2] for x in found]), strict=True):
                     if hit.any():
                         h = np.unique(term_hashes(t, own)[0])
@@ -195,12 +221,12 @@ def disclosing(documents: DataFrame, text_col: str, support: int, disclosure: fl
 
     def gather(batches):
         def parts():
-            for found in with_entities(batches):
-                for (t, own, e), hit in zip(found, known(both, [x[2] for x in found]), strict=True):
-                    if hit.any():
-                        h = np.unique(term_hashes(t, own)[0])
-                        for x, y in grids(e[hit], h[in_blocks(both, h)]):
-                            yield x, y, doc_column(t, len(x))
+            for found in with_entities(batches, together(both)):
+                some = [(t, own, e[hit]) for (t, own, e), hit in zip(found, known(both, [x[2] for x in found]), strict=True) if hit.any()]
+                words = [np.unique(term_hashes(t, own)[0]) for t, own, _ in some]
+                for (t, _, e), h, hit in zip(some, words, known(both, words), strict=True):
+                    for x, y in grids(e, h[hit]):
+                        yield x, y, doc_column(t, len(x))
 
         return joined(parts(), ["e", "t", "doc"])
 
@@ -209,13 +235,21 @@ def disclosing(documents: DataFrame, text_col: str, support: int, disclosure: fl
     total = documents.count()
 
     def count(batches):
-        seen: dict[int, int] = {}
+        held, size, most = [], 0, together(terms)
         for b in batches:
             for s in byte_slices(b, 0):
-                for h in candidate_hashes(plain_strings(s.column(0)), terms):
-                    seen[h] = seen.get(h, 0) + 1
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(list(seen), np.uint64).view(np.int64)), pa.array(list(seen.values()), pa.int64())], names=["t", "n"])
+                held += word_sets(plain_strings(s.column(0)))
+                size += s.nbytes
+                if held and size >= most:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
+
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        every = np.concatenate(sets)
+        t, n = np.unique(every[in_blocks(terms, every)], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n.astype(np.int64))], names=["t", "n"])
 
     df_term = text.mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("df_t"))
     scored = pairs.join(found.select("e", "df_e"), "e").join(df_term, "t")
@@ -232,16 +266,26 @@ def disclosing(documents: DataFrame, text_col: str, support: int, disclosure: fl
     return key_blocks(chosen.mapInArrow(keys, "k long").distinct(), "disclosing")
 
 
-def candidate_hashes(texts: pa.StringArray, terms: list[str]):
-    """Of each text, the hashes of its distinct lower-cased words that are candidates."""
+def word_sets(texts: pa.StringArray) -> list[np.ndarray]:
+    """Of each text, the hashes of its distinct lower-cased words."""
     import xxhash
 
+    out = []
     for t in texts.to_pylist():
-        if not t:
-            continue
-        words = {w.lower() for w in WORD.findall(t)}
-        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-        yield from h[in_blocks(terms, h)].tolist()
+        if t:
+            words = {w.lower() for w in WORD.findall(t)}
+            out.append(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)))
+    return out
+
+
+def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
+    out, at = [], 0
+    for a, k, b in spans:
+        if a >= at:
+            word = text[a:b]
+            out += [text[at:a], f"<{KINDS[k]}>" if k < 4 else "<number>" if any(c.isdigit() for c in word) else "<name>" if word[:1].isupper() else ""]
+            at = b
+    return "".join([*out, text[at:]])
 
 
 def sanitise(documents: DataFrame, *, text_col: str = "text", keep: list[str] | None = None, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
@@ -249,33 +293,29 @@ def sanitise(documents: DataFrame, *, text_col: str = "text", keep: list[str] |
     found = disclosing(documents, text_col, support, disclosure)
 
     def make():
-        def f(texts: pa.StringArray) -> list[pa.Array]:
-            digit, some = flags(texts)
-            spans, red = [[] for _ in range(len(texts))], texts.to_pylist()
-            for i in np.flatnonzero(some).tolist():
-                t = red[i]
-                own = base_spans(t, bool(digit[i]))
-                if not own:
-                    continue
-                e = entity_hashes(t, own)
-                e = e[in_blocks(found, e)]
-                if len(e):
-                    h, start, end = term_hashes(t, own)
-                    some_terms = np.unique(h)
-                    some_terms = some_terms[in_blocks(found, some_terms)]
-                    told = [y[in_blocks(found, pair_keys(x, y))] for x, y in grids(e, some_terms)]
-                    hit = np.isin(h, np.concatenate(told)) if told else np.zeros(len(h), bool)
-                    own = sorted({*own, *((a, 4, b) for a, b in zip(start[hit].tolist(), end[hit].tolist(), strict=True))})
-                spans[i] = [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in own]
-                out, at = [], 0
-                for a, k, b in own:
-                    if a >= at:
-                        word = t[a:b]
-                        out += [t[at:a], f"<{KINDS[k]}>" if k < 4 else "<number>" if any(c.isdigit() for c in word) else "<name>" if word[:1].isupper() else ""]
-                        at = b
-                red[i] = "".join([*out, t[at:]])
-            return [pa.array(spans, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))), pa.array(red, pa.string())]
+        def f(slices: list[list[pa.Array]]) -> list[list[pa.Array]]:
+            spans = [[[] for _ in range(len(s[0]))] for s in slices]
+            red = [s[0].to_pylist() for s in slices]
+            places, sets = [], []  # texts with entities, and those entities
+            for k, (texts,) in enumerate(slices):
+                digit, some = flags(texts)
+                for i in np.flatnonzero(some).tolist():
+                    if own := base_spans(red[k][i], bool(digit[i])):
+                        spans[k][i] = own
+                        places.append((k, i))
+                        sets.append(entity_hashes(red[k][i], own))
+            live = [(at, e[hit]) for at, e, hit in zip(places, sets, known(found, sets), strict=True) if hit.any()]
+            words = [term_hashes(red[k][i], spans[k][i]) for (k, i), _ in live]
+            some_terms = [np.unique(h) for h, _, _ in words]
+            told = disclosed(found, [(e, t[hit]) for (_, e), t, hit in zip(live, some_terms, known(found, some_terms), strict=True)])
+            for ((k, i), _), (h, start, end), t in zip(live, words, told, strict=True):
+                hit = np.isin(h, t)
+                spans[k][i] = sorted({*spans[k][i], *((a, 4, b) for a, b in zip(start[hit].tolist(), end[hit].tolist(), strict=True))})
+            for k, i in places:
+                red[k][i] = redact(red[k][i], spans[k][i])
+            kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+            return [[pa.array([[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in x] for x in own], kind), pa.array(r, pa.string())] for own, r in zip(spans, red, strict=True)]
 
         return f
 
-    return map_texts(documents, text_col, keep, RESULT, make)
+    return map_groups(documents, [documents[text_col]], keep, RESULT, make, together(found))

@@ -8,7 +8,7 @@ than ``min_docs`` of them, are removed, and a document that loses more than ``de
 words is rejected. The share decides at every size of a host; in the smallest, a line of three documents is frequent.
 
 Counts combine before the shuffle; the frequent lines are kept as key files that tasks read block by
-block, and texts are never shuffled.
+block, once for ``GROUP_BYTES`` of text where there are several, and texts are never shuffled.
 
 Defined results: a null or empty text has no words, so it fails the base rules. A null host is a host
 of its own. Repeated rows get equal results. Input columns named like a result column are replaced.
@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import CASED, NONSPACE, Words, byte_slices, in_blocks, key_blocks, materialise, mix, pass_through, plain_strings, raw_bytes, row_counts, small_batches
+from .shared import CASED, NONSPACE, Words, byte_slices, in_blocks, key_blocks, map_groups, materialise, mix, pass_through, plain_strings, raw_bytes, row_counts, small_batches, together
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 10, 5, 20
 #: A line is too frequent in more than this share of its host's distinct documents. The floor only spares lines of one or
 #: two documents: three are above the share in any host that the floor decides (up to 100 documents).
 MIN_DOCS, SHARE = 2, 0.02
-DEPLETED = 0.5
+DEPLETED, SALTS = 0.5, 32
 
 RESULT = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines_removed", "n_words_removed")] + [T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), T.StructField("clean_text", T.StringType())])
 
@@ -123,8 +123,9 @@ def frequent_lines(documents: DataFrame, *, text_col: str, host_col: str, min_do
     rows = documents.select(hosts.alias("h"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "host long, whole boolean, key long, doc long")
     counts = rows.distinct().groupBy("host", "whole", "key").agg(F.count("*").alias("n"))
     counts = materialise(counts.filter(F.col("whole") | (F.col("n") > min_docs)), "line-counts")
-    size = counts.filter("whole").select("host", F.col("n").alias("docs"))
-    over = counts.filter("not whole").join(size, "host").filter(F.col("n") > F.greatest(F.lit(float(min_docs)), F.col("docs") * share))
+    # a host may have a third of all lines: they are dealt over SALTS places, and the host's size goes to each
+    size = counts.filter("whole").select("host", F.col("n").alias("docs"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    over = counts.filter("not whole").withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(size, ["host", "salt"]).filter(F.col("n") > F.greatest(F.lit(float(min_docs)), F.col("docs") * share))
     return key_blocks(over.select("key"), "frequent-lines")
 
 
@@ -136,22 +137,23 @@ def quality(documents: DataFrame, *, text_col: str = "text", host_col: str = "so
     names = [*RESULT.names]
 
     def make():
-        def f(column: pa.Array) -> list[pa.Array]:
-            texts_, host = column.field(0), host_hashes(column.field(1).to_pylist())
-            c = base_counts(texts_)
-            lines = Lines(texts_)
-            bad = in_blocks(frequent, mix(lines.hash ^ host[lines.row]))
-            n = len(host)
-            c["n_lines_removed"] = np.bincount(lines.row[bad], minlength=n)
-            c["n_words_removed"] = np.bincount(lines.row[bad], weights=lines.count[bad], minlength=n).astype(np.int64)
+        def first(column: list[pa.Array]) -> tuple:
+            """What is counted of a slice, and its lines with their keys."""
+            host, found = host_hashes(column[0].to_pylist()), Lines(column[1])
+            return base_counts(column[1]), found.row, found.count, found.at, found.to, mix(found.hash ^ host[found.row])
+
+        def second(column: list[pa.Array], c: dict, row: np.ndarray, count: np.ndarray, begin: np.ndarray, end: np.ndarray, bad: np.ndarray) -> list[pa.Array]:
+            n = len(column[1])
+            c["n_lines_removed"] = np.bincount(row[bad], minlength=n)
+            c["n_words_removed"] = np.bincount(row[bad], weights=count[bad], minlength=n).astype(np.int64)
             failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > REPEAT_PERCENT * c["n_words"])
             ok = ~failed & (c["n_words_removed"] <= depleted * c["n_words"])
             clean: list[str | None] = [None] * n
             if texts:
-                data, offsets = raw_bytes(texts_)
+                data, offsets = raw_bytes(column[1])
                 raw = data.tobytes()
                 cut: dict[int, list] = {}
-                for r, i, j in zip(lines.row[bad].tolist(), lines.at[bad].tolist(), lines.to[bad].tolist(), strict=True):
+                for r, i, j in zip(row[bad].tolist(), begin[bad].tolist(), end[bad].tolist(), strict=True):
                     cut.setdefault(r, []).append((i, j))
                 for r in range(n):
                     at, out = int(offsets[r]), []
@@ -162,21 +164,11 @@ def quality(documents: DataFrame, *, text_col: str = "text", host_col: str = "so
                     clean[r] = b"".join(out).decode()
             return [pa.array(c[k].astype(np.int64)) for k in names[:7]] + [pa.array(failed), pa.array(ok), pa.array(clean, pa.string())]
 
-        return f
-
-    return _map_pairs(documents, text_col, hosts, kept, make)
-
-
-def _map_pairs(documents: DataFrame, text_col: str, hosts, kept: list[str], make) -> DataFrame:
-    small_batches(documents.sparkSession)
-    schema = T.StructType([documents.schema[c] for c in kept] + list(RESULT))
+        def f(slices: list[list[pa.Array]]) -> list[list[pa.Array]]:
+            found = [first(s) for s in slices]
+            bad = np.split(in_blocks(frequent, np.concatenate([x[-1] for x in found])), np.cumsum([len(x[-1]) for x in found])[:-1])
+            return [second(s, *x[:-1], b) for s, x, b in zip(slices, found, bad, strict=True)]
 
-    def run(batches):
-        f = make()
-        for b in batches:
-            k = b.num_columns
-            for s in byte_slices(b, k - 1):
-                pair = pa.StructArray.from_arrays([plain_strings(s.column(k - 1)), plain_strings(s.column(k - 2))], names=["t", "h"])
-                yield pa.RecordBatch.from_arrays([*[s.column(i) for i in range(k - 2)], *f(pair)], names=schema.names)
+        return f
 
-    return documents.select(*[documents[c] for c in kept], hosts.alias("__host"), documents[text_col].cast("string").alias("__text")).mapInArrow(run, schema)
+    return map_groups(documents, [hosts, documents[text_col]], kept, RESULT, make, together(frequent))

@@ -26,7 +26,9 @@ def tokenizer(name: str) -> str:
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = write_archives(documents(spark, sf_dir, "pages"), work_dir(spark, "warc"))
-    found = read_archives(spark, archives, payloads=False).filter("reason is null")
+    found = read_archives(spark, archives, payloads=False)
+    gap = F.raise_error(F.concat_ws(" ", F.lit("a gap in an archive just written:"), "file", "start", "end", "reason"))
+    found = found.withColumn("payload_bytes", F.when(F.col("reason").isNull(), F.col("payload_bytes")).otherwise(gap.cast("long")))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -55,7 +57,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda x: x["kind"] != "term")
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     joined = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
-    return found.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), (F.size("spans") > 0).alias("flagged"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

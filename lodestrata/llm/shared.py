@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from pyspark.sql import types as T
 
 #: Bytes of text that one vectorised step takes at a time; a longer text is one step by itself.
 STEP_BYTES = 1 << 20
+#: Bytes of text whose keys are looked up together in a set of several blocks.
+GROUP_BYTES = 32 << 20
 #: Rows of an Arrow batch: bounds what one batch of long texts holds in a Python worker.
 BATCH_ROWS = 1000
 
@@ -35,9 +38,27 @@ def work_root(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints"
 
 
+_scopes: list[list[str]] = []
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder (not yet made) below the shared one."""
-    return f"{work_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{work_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def work_scope(spark: SparkSession) -> Iterator[None]:
+    """Drops the work folders begun within when it ends: for whoever has written an operator's result by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            for end in ("", "-sums"):
+                drop_dir(spark, path + end)
 
 
 def drop_dir(spark: SparkSession, path: str) -> None:
@@ -84,11 +105,6 @@ def move_shared(uri: str, to: str) -> None:
 # ---- keys and columns --------------------------------------------------------------------------
 
 
-def text_key(text: Column) -> Column:
-    """128 bits that stand for a text (null differs from the empty text)."""
-    return F.struct(F.xxhash64(F.lit(1), text, text.isNull()).alias("a"), F.xxhash64(F.lit(2), text, text.isNull()).alias("b"))
-
-
 def pass_through(df: DataFrame, keep: list[str] | None, added: T.StructType) -> list[str]:
     """The input columns that stay: those asked for (default all), less those that the result names."""
     names = {f.name.lower() for f in added}
@@ -101,18 +117,59 @@ def map_texts(df: DataFrame, text_col: str, keep: list[str] | None, added: T.Str
     ``make`` runs once a task and gives ``f(texts: pa.StringArray) -> list[pa.Array]``, one array for
     each field of ``added``. Input columns that a result column names are replaced by it.
     """
+
+
+    def grouped():
+        f = make()
+        return lambda slices: [f(s[0]) for s in slices]
+
+    return map_groups(df, [df[text_col]], keep, added, grouped, 0)
+
+
+def map_groups(df: DataFrame, texts: list[Column], keep: list[str] | None, added: T.StructType, make: Callable[[], Callable], most: int) -> DataFrame:
+    """``map_texts`` for functions of several slices: ``f`` takes a list of slices (of each, the columns ``texts``, which
+    are strings, the text last) of at most about ``most`` bytes of text, or one slice, and gives the result columns of each."""
     small_batches(df.sparkSession)
-    kept = pass_through(df, keep, added)
+    kept, n = pass_through(df, keep, added), len(texts)
     schema = T.StructType([df.schema[c] for c in kept] + list(added))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, names = make(), schema.names
+
+        def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = f([[plain_strings(x) for x in part.columns[-n:]] for part in held]) if held else []
+            for part, cols in zip(held, found, strict=True):
+                yield pa.RecordBatch.from_arrays([*part.columns[:-n], *cols], names=names)
+
+        held, size = [], 0
         for b in batches:
             for part in byte_slices(b, b.num_columns - 1):
-                cols = [part.column(i) for i in range(part.num_columns - 1)] + list(f(plain_strings(part.column(part.num_columns - 1))))
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                held.append(part)
+                size += part.column(part.num_columns - 1).nbytes if most else 0
+                if size >= most:
+                    yield from flush(held)
+                    held, size = [], 0
+        yield from flush(held)
+
+    return df.select(*[df[c] for c in kept], *[t.cast("string").alias(f"__text{i}") for i, t in enumerate(texts)]).mapInArrow(run, schema)
+
+
+def one_each(files: DataFrame) -> DataFrame:
+    """The rows of a short table, one a task."""
+    return files.coalesce(1).repartition(max(1, files.count()))
 
-    return df.select(*[df[c] for c in kept], df[text_col].cast("string").alias("__text")).mapInArrow(run, schema)
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``table`` (unique in ``key``), whatever share of the rows one key has.
+
+    Keys of more than max(1000, total / 500,000) of the ``total`` rows are joined by broadcast: they can't be more than
+    500,000. No task of the other join then gets more than so many rows of a key.
+    """
+    most = max(1000, total // 500_000)
+    hot = rows.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > most).select(key).join(table, key)
+    hot = materialise(hot, "hot-keys")
+    often, rest = F.broadcast(hot), F.broadcast(hot.select(key))
+    return rows.join(often, key).unionByName(rows.join(rest, key, "left_anti").join(table, key))
 
 
 def plain_strings(a: pa.Array) -> pa.Array:
@@ -152,7 +209,7 @@ def row_counts(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 # ---- sets of keys too large to broadcast -------------------------------------------------------
 
 #: Keys of a block: what a task holds of a set at a time (8 bytes each).
-BLOCK_KEYS = 4_000_000
+BLOCK_KEYS, HELD_BLOCKS = 2_000_000, 4
 _blocks: dict[str, np.ndarray] = {}
 
 
@@ -171,6 +228,11 @@ def key_blocks(keys: DataFrame, name: str) -> list[str]:
     return [f"{folder}/blocks/{x.base_name}" for x in store.get_file_info(fs.FileSelector(path)) if x.base_name.endswith(".parquet")]
 
 
+def together(uris: list[str]) -> int:
+    """Bytes of text whose keys should be looked up at once: a set of several blocks is read anew for each lookup."""
+    return GROUP_BYTES if len(uris) > 1 else 0
+
+
 def in_blocks(uris: list[str], h: np.ndarray) -> np.ndarray:
     """Which hashes are keys of the set. One block is held at a time; a set of one block is read once a process."""
     import pyarrow.parquet as pq
@@ -180,7 +242,8 @@ def in_blocks(uris: list[str], h: np.ndarray) -> np.ndarray:
         return found
     for uri in uris:
         if uri not in _blocks:
-            _blocks.clear()
+            while len(_blocks) >= HELD_BLOCKS:
+                _blocks.pop(next(iter(_blocks)))
             with open_shared(uri, "rb") as f:
                 _blocks[uri] = np.sort(pq.read_table(f)["k"].to_numpy().astype(np.int64).view(np.uint64))
         held = _blocks[uri]

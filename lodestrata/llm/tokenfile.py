@@ -12,10 +12,11 @@ in 16 bits where the vocabulary allows it.
 
 Writing: documents are dealt by range of id, one file a task, and a task publishes its file under its
 final name when it is whole, so a repeated attempt replaces it with an equal one. A small manifest (one
-row a file) carries the running number of ids.
+row a file) carries the running number of ids and the least and greatest document id, so that a request for a few
+documents opens only the files that may hold them.
 
 Defined results: a null or empty text is the end id alone. Null ids come first; rows of equal id follow
-in order of their text. An empty table gives no files. Further input columns are not stored.
+in order of a hash of their text, and then of the text. An empty table gives no files. Further input columns are not stored.
 """
 
 from __future__ import annotations
@@ -30,13 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import byte_slices, move_shared, open_shared, plain_strings, small_batches
+from .shared import byte_slices, move_shared, one_each, open_shared, plain_strings, small_batches
 from .tokens import encoder
 
 #: Fixed values of the format.
 INDEX_MAGIC, SEEK_MAGIC, END_MAGIC, CHECKSUM_FLAG = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 
-MANIFEST = "file string, part long, n_docs long, n_tokens long"
+MANIFEST = "file string, part long, n_docs long, n_tokens long, least long, greatest long, n_null long"
 
 
 class Writer:
@@ -108,12 +109,12 @@ class Reader:
 
 
 def write_token_files(documents: DataFrame, folder: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, partitions: int | None = None) -> DataFrame:
-    """Encode and write; the manifest (file, part, n_docs, n_tokens, start), kept in ``folder``/manifest."""
+    """Encode and write; the manifest (file, part, n_docs, n_tokens, least, greatest, n_null, start), kept in ``folder``/manifest."""
     spark = documents.sparkSession
     small_batches(spark)
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     by = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
-    dealt = (rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)).sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    dealt = (rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)).sortWithinPartitions(*by, F.col("text").asc_nulls_first())
 
     def run(batches):
         enc, end = encoder(tokenizer_path), np.array([end_id], np.uint32)
@@ -129,11 +130,14 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer_path: str, *,
                     ids = np.append(np.frombuffer(raw, np.uint32), end)
                     writer.add(i, ids)
                     docs, tokens = docs + 1, tokens + len(ids)
+        enc.rest()
         if writer is not None:
             writer.close()
             sink.close()
             move_shared(draft, final)
-            yield pa.RecordBatch.from_pydict({"file": [final], "part": pa.array([part], pa.int64()), "n_docs": pa.array([docs], pa.int64()), "n_tokens": pa.array([tokens], pa.int64())})
+            known = [x for x in writer.ids if x is not None]  # in order
+            numbers = {"part": part, "n_docs": docs, "n_tokens": tokens, "least": known[0] if known else None, "greatest": known[-1] if known else None, "n_null": docs - len(known)}
+            yield pa.RecordBatch.from_pydict({"file": [final], **{k: pa.array([v], pa.int64()) for k, v in numbers.items()}})
 
     dealt.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/parts")
     parts = spark.read.schema(MANIFEST).parquet(f"{folder}/parts")
@@ -146,7 +150,7 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer_path: str, *,
 def read_token_files(spark: SparkSession, manifest: DataFrame, doc_ids: list[int] | None = None) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit).
 
-    With ``doc_ids`` only the frames of those documents are read and decompressed.
+    With ``doc_ids`` only the files that may hold those documents are opened, and only their frames are read.
     """
     small_batches(spark)
     wanted = set(doc_ids) if doc_ids is not None else None
@@ -162,5 +166,10 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, doc_ids: list[int
                         some = take[i : i + 250]
                         yield pa.RecordBatch.from_arrays([pa.array([r.ids[x] for x in some], pa.int64()), pa.array(begin[some]), pa.array([r.n_tokens(x) for x in some], pa.int64()), pa.array([r.frame(x) for x in some], pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
-    files = manifest.select("file", "start")
-    return files.repartition(max(1, files.count()), "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    if wanted is not None:
+        ids = sorted(x for x in wanted if x is not None)
+        asked = spark.createDataFrame([(x,) for x in ids], "id long")
+        held = F.broadcast(asked)  # no more than the caller's list
+        near = manifest.join(held, F.col("id").between(F.col("least"), F.col("greatest")), "left_semi")
+        manifest = near.unionByName(manifest.filter("n_null > 0")).distinct() if None in wanted else near
+    return one_each(manifest.select("file", "start")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")

@@ -2,8 +2,11 @@
 
 Texts repeat words far more than they repeat texts. Where the tokenizer's rules make it exact, a text is
 cut at single spaces and each distinct piece is encoded once and remembered; other texts are encoded
-whole. The memory is bounded: when it holds ``REMEMBERED`` pieces (about 70 MB) a new one is begun, and the
-one before serves pieces that are met again.
+whole. The memory is bounded in bytes: pieces met in one call only (most are) go to a generation of at most about
+``FRESH_BYTES``, those met again to one of ``HOT_BYTES``; a full generation is kept as the one before until
+the next is full, and pieces longer than ``LONGEST`` aren't kept beyond their call. The end of a task drops the
+former. A text that may hold an added token of the tokenizer is encoded whole, so that it becomes what the library
+makes of it.
 
 - Byte-level rules (a space joins the word after it): a piece is a space and the run up to the next
   space. A text with white space after a space is encoded whole, for such a run is split otherwise.
@@ -14,11 +17,14 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from itertools import filterfalse, islice
 
 import numpy as np
 
-REMEMBERED, JOINED = 400_000, 64
+#: Bytes of a generation of remembered pieces, what a piece takes besides its text and ids, and its most characters.
+HOT_BYTES, FRESH_BYTES, EACH, LONGEST = 64 << 20, 16 << 20, 300, 200
+JOINED = 64
 #: Marks that are split from a word before them.
 MARKS = frozenset(".,;:!?")
 #: Byte-level form of the letters U+00C0 to U+00FF: each of a letter's two bytes as the character that stands for it.
@@ -47,6 +53,19 @@ def simple(word: str) -> bool:
     return word.isascii() or all(c < "\x80" or "\xc0" <= c <= "\xff" for c in word)
 
 
+class Memory(dict):
+    """Pieces met more than once; one that isn't there is looked up among the new ones."""
+
+    __slots__ = ("fresh",)
+
+    def __missing__(self, piece: str) -> bytes | bool:
+        return self.fresh[piece]
+
+
+def weight(pieces: dict[str, bytes | bool]) -> int:
+    return sum(EACH + len(k) + (len(v) if v else 0) for k, v in pieces.items())
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the unit of parallelism
@@ -54,14 +73,16 @@ class Encoder:
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True
         rules = json.loads(self.t.to_str())
         self.size = self.t.get_vocab_size()
-        self.memory: dict[str, bytes | bool] = {}
-        self.older: dict[str, bytes | bool] = {}
+        self.hot, self.warm = Memory(), {}
+        self.fresh: dict[str, bytes | bool] = {}
+        self.stale: dict[str, bytes | bool] = {}
+        self.held = {"hot": 0, "fresh": 0}
         pre, norm = rules.get("pre_tokenizer") or {}, rules.get("normalizer")
         self.kind, self.model = "whole", Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        #: What an added token begins with: signs that the rules leave as they are.
+        self.added = {re.match(r"[!-/:-@\[-`{-~]*", x.content)[0] for x in self.t.get_added_tokens_decoder().values()}
         self.marks = {c: self._bytes(c) for c in MARKS}
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
             self.kind = "lead"
@@ -75,6 +96,8 @@ class Encoder:
                 self.kind, self.bar = "ends", bar[0]
                 self.model.normalizer = None
                 self.model.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        if "" in self.added:
+            self.kind = "whole"
 
     def _ids(self, text: str) -> list[int]:
         return self.t.encode(text, add_special_tokens=False).ids
@@ -106,56 +129,88 @@ class Encoder:
                 out += [self._bytes(" " + w if lead else w) for w in group]
         return out
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Remember new pieces. Letters alone, or letters and one mark after them, need only the model;
-        the mark is a word of its own by either kind of rules."""
-        m, plain, tailed, other = self.memory, [], [], []
+    def _learn(self, pieces: list[str]) -> dict[str, bytes | bool]:
+        """The ids of new pieces. Letters alone, or letters and one mark after them, need only the model; the mark is a
+        word of its own by either kind of rules, unless lower-casing puts a combining letter before it."""
+        out: dict[str, bytes | bool] = {}
+        plain, tailed, other, lead = [], [], [], self.kind == "lead"
         for p in pieces:
             if p.isalpha():
                 plain.append(p)
-            elif p[-1:] in MARKS and p[:-1].isalpha():
+            elif p[-1:] in MARKS and p[:-1].isalpha() and (lead or simple(p[:-1])):
                 tailed.append(p)
-            elif self.kind == "lead" and (not p or p[0].isspace()):
-                m[p] = False
+            elif lead and (not p or p[0].isspace()):
+                out[p] = False
             elif not p:
-                m[p] = b""
-            elif self.kind == "ends" and "|" in p:
-                m[p] = self._bytes(p)
+                out[p] = b""
+            elif not lead and "|" in p:
+                out[p] = self._bytes(p)
             else:
                 other.append(p)
-        new = set(plain)
-        new.update(b for p in tailed if (b := p[:-1]) not in m)
+        new = {*plain, *(p[:-1] for p in tailed)}
         easy, hard = [], other
         for w in new:
-            (easy if simple(w) and (self.kind == "lead" or w == w.lower()) else hard).append(w)
+            (easy if simple(w) and (lead or w == w.lower()) else hard).append(w)
         easy.sort()
         hard.sort()
-        m.update(zip(easy, self._cut(self.model, easy, True), strict=True))
-        m.update(zip(hard, self._cut(self.t, hard, False), strict=True))
+        out.update(zip(easy, self._cut(self.model, easy, True), strict=True))
+        out.update(zip(hard, self._cut(self.t, hard, False), strict=True))
         for p in tailed:
-            m[p] = m[p[:-1]] + self.marks[p[-1]]
+            out[p] = out[p[:-1]] + self.marks[p[-1]]
+        return out
+
+    def _remember(self, new: set[str]) -> None:
+        """See to it that every piece is in ``hot`` or ``fresh``."""
+        for before in (self.fresh, self.stale, self.warm):
+            again = {p: before.pop(p) for p in new & before.keys()}
+            self.hot.update(again)
+            self.held["hot"] += weight(again)
+            new -= again.keys()
+        if new:
+            learnt = self._learn(sorted(new))
+            self.fresh.update(learnt)
+            self.held["fresh"] += weight(learnt)
+
+    def _turn(self) -> None:
+        """Begin a new generation where one is full."""
+        for k in [p for p in self.fresh if len(p) > LONGEST]:
+            self.held["fresh"] -= weight({k: self.fresh.pop(k)})
+        if self.held["fresh"] > FRESH_BYTES:
+            self.stale, self.fresh, self.held["fresh"] = self.fresh, {}, 0
+        if self.held["hot"] > HOT_BYTES:
+            self.warm, self.hot, self.held["hot"] = self.hot, Memory(), 0
+        self.hot.fresh = self.fresh
+
+    def rest(self) -> None:
+        """A task ends: forget the pieces met once."""
+        self.fresh, self.stale, self.held["fresh"] = {}, {}, 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        whole = lambda some: [np.array(e.ids, np.uint32).tobytes() for e in self.t.encode_batch_fast(some, add_special_tokens=False)]
         if self.kind == "whole":
-            return [np.array(e.ids, np.uint32).tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
-        if len(self.memory) > REMEMBERED:
-            self.older, self.memory = self.memory, {}
+            return whole(texts)
+        apart = [i for i, t in enumerate(texts) if any(x in t for x in self.added)]
+        if apart:
+            out, gone = dict(zip(apart, whole([texts[i] for i in apart]), strict=True)), set(apart)
+            out |= zip([i for i in range(len(texts)) if i not in gone], self._pieces([t for i, t in enumerate(texts) if i not in gone]), strict=True)
+            return [out[i] for i in range(len(texts))]
+        return self._pieces(texts)
+
+    def _pieces(self, texts: list[str]) -> list[bytes]:
+        """``encode`` for texts without an added token, piece by piece."""
+        self._turn()
         lead = self.kind == "lead"
         cut = [t.split(" ") for t in (texts if lead else map(folded, texts))]
         heads = [c[0] for c in cut]
         if lead:
             for c in cut:
                 c[0] = "."  # encoded apart: no space stands before it
-        m, out, new = self.memory, [], set()
+        m, out, new = self.hot, [], set()
         for c in cut:
             new.update(filterfalse(m.__contains__, c))
-        if new and self.older:
-            for p in list(new & self.older.keys()):
-                m[p] = self.older[p]
-                new.discard(p)
         if new:
-            self._learn(sorted(new))
+            self._remember(new)
         for t, c, h in zip(texts, cut, heads, strict=True):
             try:
                 if lead:

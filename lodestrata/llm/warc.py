@@ -36,16 +36,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import byte_slices, materialise, move_shared, open_shared, small_batches
+from .shared import byte_slices, materialise, move_shared, one_each, open_shared, small_batches
 
 REVISIT_BYTES = 100
 #: Fixed values of the format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 VERSION = re.compile(rb"WARC/[01]\.[0-9]+\r\n")
 MEMBER = b"\x1f\x8b\x08"
+BEGIN, MARK = re.compile(rb"\x1f\x8b\x08|WARC/"), 4  # what a record begins with, and one byte less than the longer mark
 
 #: Bytes the reader fetches at a time, the first step for a header block, and the most that it takes for a record.
 FETCH, HEADER_STEP, RECORD_MOST = 1 << 20, 1 << 16, 1 << 31
+#: Bytes among which a version line ends, and places over which a digest's copies are dealt.
+VERSION_MOST, SALTS = 32, 16
 
 
 # ---- records -----------------------------------------------------------------------------------
@@ -100,13 +103,13 @@ class Window:
     def find(self, pos: int) -> int:
         """The next place at or after pos that may begin a member or a version line; the size if none."""
         while pos < self.size:
-            part = self.get(pos, FETCH)
-            hits = [i for i in (part.find(MEMBER), part.find(b"WARC/")) if i >= 0]
-            if hits:
-                return pos + min(hits)
-            if pos + len(part) >= self.size:
+            if not self.at <= pos < self.at + len(self.held) - MARK:
+                self.get(pos, FETCH)
+            if m := BEGIN.search(self.held, pos - self.at):
+                return self.at + m.start()
+            if self.at + len(self.held) >= self.size:
                 break
-            pos += max(1, len(part) - 8)
+            pos = self.at + len(self.held) - MARK
         return self.size
 
 
@@ -159,9 +162,9 @@ def check_record(fields: dict[str, str], block: bytes) -> None:
 def header_block(get) -> bytes:
     """The version line and the header lines, whatever their length, read in growing steps until the blank line."""
     n = HEADER_STEP
-    head = get(0, n)
-    if not VERSION.match(head):
+    if not VERSION.match(get(0, VERSION_MOST)):
         raise Damage("no version line")
+    head = get(0, n)
     while (end := head.find(b"\r\n\r\n")) < 0:
         header_fields(head[: head.rfind(b"\r\n")])  # what is no header isn't read to the end of the file
         if len(head) < n or n > RECORD_MOST:
@@ -279,7 +282,10 @@ def with_firsts(pages: DataFrame, id_col: str, url_col: str, html_col: str, leas
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("n", F.length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
     twice = rows.filter(F.col("n") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("copies")).filter((F.col("copies") > 1) & F.col("first").isNotNull()).select("digest", "first")
-    keys = rows.filter(F.col("n") >= least).select("id", "digest").join(twice, "digest").filter(~F.col("id").eqNullSafe(F.col("first"))).select(F.col("id").alias("rid"), F.col("digest").alias("rdigest"), "first").distinct()
+    # a third of all pages may have one payload: their ids are dealt over SALTS places, and the first one's goes to each
+    twice = twice.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.filter(F.col("n") >= least).select("id", "digest", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    keys = salted.join(twice, ["digest", "salt"]).filter(~F.col("id").eqNullSafe(F.col("first"))).select(F.col("id").alias("rid"), F.col("digest").alias("rdigest"), "first").distinct()
     keys = materialise(keys, "revisits")
     return rows.join(keys, F.col("id").eqNullSafe(F.col("rid")) & (F.col("digest") == F.col("rdigest")), "left").select("id", "url", "payload", "n", "digest", "first")
 
@@ -350,5 +356,4 @@ def read_archives(spark: SparkSession, files: DataFrame, payloads: bool = True)
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
 
-    only = files.select("file")
-    return only.repartition(max(1, only.count()), "file").mapInArrow(run, FOUND)
+    return one_each(files.select("file")).mapInArrow(run, FOUND)

@@ -184,7 +184,6 @@ def test_op5(spark, case):
 
 def encoded(docs, name, end):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, end], "<u4") for i, x, *_ in docs}
 
 

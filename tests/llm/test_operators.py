@@ -221,17 +221,28 @@ def test_patterns():
             assert mine[0][0] == 0 and mine[-1][1] == h[length] and all(a[1] == b[0] for a, b in zip(mine, mine[1:], strict=False))
 
 
+#: Letters that change their length, their kind or their neighbours under lower-casing or composition.
+CASES = [chr(i) for i in range(0x80, 0x2FFF) if chr(i).lower() != chr(i) and (len(chr(i).lower()) > 1 or chr(i).lower().isascii() or not chr(i).isalpha())]
+COMBINING = [chr(i) for i in [*range(0x300, 0x30F), 0x338, 0x345, 0x483, 0x5B0, 0x64B, 0x93C, 0x94D, 0x20E3, 0x3099]]
+
+
 @pytest.mark.parametrize("path", [BYTE, WORDS])
 def test_encoder_is_exact(path, monkeypatch):
     r = random.Random(5)
-    monkeypatch.setattr(tokens, "REMEMBERED", 3000)
-    bits = ["a", "Foo", "bar", "é", "È", "'s", "'ll", "don't", "...", ",", ".", "!?", "\n", "\n\n", " ", "  ", "\t", "\x1c", "\xa0", "12", "3", "|", "%%%", "<|endoftext|>", "漢", "字", "Ⅷ", "²", "́", "Σ", "ς", "İ", "\r\n", "_", "-", "😀", "\x00", "a.b", "x,y."]
-    texts = ["", " ", " a", "a ", "|", "a | b"] + ["".join(r.choice(bits) + " " * (r.random() < 0.4) for _ in range(r.randint(1, 30))) for _ in range(4000)]
+    monkeypatch.setattr(tokens, "HOT_BYTES", 100_000)
+    monkeypatch.setattr(tokens, "FRESH_BYTES", 200_000)
+    bits = ["a", "Foo", "bar", "é", "È", "'s", "'ll", "don't", "...", ",", ".", "!?", "\n", "\n\n", " ", "  ", "\t", "\x1c", "\xa0", "12", "3", "|", "%%%", "<|endoftext|>", "<|startoftext|>", "<|", "漢", "字", "Ⅷ", "²", "Σ", "ς", "İ", "\r\n", "_", "-", "😀", "\x00", "a.b", "x,y.", *COMBINING, *CASES]
+    texts = ["", " ", " a", "a ", "|", "a | b", "<|endoftext|>", "a <|endoftext|> b", "İ."] + ["".join(r.choice(bits) + " " * (r.random() < 0.4) for _ in range(r.randint(1, 30))) for _ in range(6000)]
+    texts += [x + y + z for x in (*CASES, *"aÀÿßﬁ") for y in ("", r.choice(COMBINING)) for z in ".,;:!?"]
     e = tokens.Encoder(path)
     assert e.kind in ("lead", "ends")
+    texts += r.sample(texts, len(texts))
     for i in range(0, len(texts), 500):
         for t, got in zip(texts[i : i + 500], e.encode(texts[i : i + 500]), strict=True):
             assert np.frombuffer(got, np.uint32).tolist() == e.t.encode(t, add_special_tokens=False).ids, t
+        if i % 4000 == 0:
+            e.rest()
+    assert e.warm and tokens.weight(e.hot) == e.held["hot"] < 10 * tokens.HOT_BYTES
 
 
 def test_file_reads_only_what_is_asked():
