@@ -17,10 +17,10 @@ from lodestrata.llm.langid import fit, identify
 from lodestrata.llm.linededup import drop_repeated_lines
 from lodestrata.llm.neardup import near_duplicates
 from lodestrata.llm.packing import pack
-from lodestrata.llm.shared import work_dir
+from lodestrata.llm.shared import drop_dir, work_dir, work_scope
 
-#: A language is rejected below this posterior.
-LEAST_SCORE = 0.5
+#: A language is rejected below this posterior, and where the text fits it so badly (nats an n-gram) that it is in none that was learnt.
+LEAST_SCORE, LEAST_FIT = 0.5, -3.5
 
 
 def apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -34,11 +34,11 @@ def back(found: DataFrame, names: dict[str, str]) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language, or with one that is not clear, go."""
+    """Documents without a language, with one that is not clear, or in none of those learnt (gibberish too), go."""
     model = fit(docs)
     table, n = apart(docs)
     found = identify(table, model, text_col=n["text"])
-    return back(found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), n)
+    return back(found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE) & (F.col("fit") >= LEAST_FIT)), n)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,9 +83,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
-        found = stage(spark, docs, sf_dir)
-        found.write.parquet(path := work_dir(spark, f"stage-{k}"))
+        path = work_dir(spark, f"stage-{k}")
+        with work_scope(spark):  # what the stage kept for itself goes once its result is written
+            found = stage(spark, docs, sf_dir)
+            found.write.parquet(path)
         docs = spark.read.schema(found.schema).parquet(path)
+        if before:
+            drop_dir(spark, before)
+        before = path
     return docs
