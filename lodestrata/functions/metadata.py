@@ -1,4 +1,4 @@
-"""Predicates on vector metadata, a MAP<STRING, STRUCT<tag, s, u, d, b, raw>> or plain typed columns.
+"""Predicates on vector metadata, in plain typed columns.
 
 A missing field makes any comparison false, ``ne`` too (so it is not the negation of ``eq``). A vector
 without any metadata passes every filter: join metadata on the left and use ``passes``.
@@ -19,12 +19,21 @@ def _number(field: Column, value) -> Column:
     return ~F.isnan(field.cast("double")) & F.lit(not (isinstance(value, float) and value != value))
 
 
+def _alike(field: Column, value) -> Column:
+    """Whether the field has the value's type: an integer equals no float, nor a number a text."""
+    kinds = {bool: ("boolean",), int: ("tinyint", "smallint", "int", "bigint"), float: ("float", "double"), str: ("string",), bytes: ("binary",)}
+    return F.typeof(field).isin(*kinds[type(value)])
+
+
 def eq(field: Column, value) -> Column:
-    return _sure(field == F.lit(value))
+    """Same type and same value; NaN equals nothing."""
+    if value != value:
+        return F.lit(False)
+    return _sure(F.when(_alike(field, value), field.cast("string" if isinstance(value, str) else "binary" if isinstance(value, bytes) else "double" if isinstance(value, float) else "boolean" if isinstance(value, bool) else "long") == F.lit(value)))
 
 
 def ne(field: Column, value) -> Column:
-    return _sure(field.isNotNull() & (field != F.lit(value)))
+    return field.isNotNull() & ~eq(field, value)
 
 
 def _ordered(op: str):

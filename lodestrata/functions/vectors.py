@@ -71,8 +71,8 @@ def normalize(a: Column) -> Column:
 
 
 def quantize_binary(a: Column) -> Column:
-    """One bit an element, set where it is above 0, first element in the highest bit; whole bytes."""
-    bits = F.concat_ws("", F.transform(a, lambda x: F.when(x > 0, F.lit("1")).otherwise(F.lit("0"))))
+    """One bit an element, set where it is above 0 (not for NaN), first element in the highest bit; whole bytes."""
+    bits = F.concat_ws("", F.transform(a, lambda x: F.when((x > 0) & ~F.isnan(x), F.lit("1")).otherwise(F.lit("0"))))
     padded = F.rpad(bits, F.ceil(F.size(a) / 8).cast("int") * 8, "0")
     byte = lambda i: F.lpad(F.conv(F.substring(padded, i * 8 + 1, 8), 2, 16), 2, "0")
     return F.when(F.size(a) == 0, F.lit(b"")).otherwise(F.unhex(F.concat_ws("", F.transform(F.sequence(F.lit(0), F.ceil(F.size(a) / 8).cast("int") - 1), byte))))

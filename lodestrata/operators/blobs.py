@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 CHUNK, DEDUP_MIN, LABEL, TAG, TAGS, NAMESPACE, CONTEXT = 65536, 4096, 63, 32, 8, 63, 62
 #: Content types and relations by code; unknown codes become the first and "derived".
-CONTENT_TYPES = ("application/octet-stream", "image/jpeg", "image/png", "audio/wav", "audio/ogg", "video/mp4", "application/x-embedding", "application/x-metadata", "text/plain", "application/json")
+CONTENT_TYPES = ("application/octet-stream", "image/png", "image/jpeg", "audio/wav", "audio/ogg", "video/mp4", "application/vnd.las", "application/x-imu", "application/x-embedding", "application/json")
 RELATIONS = ("derived", "similar", "contradicts", "supports", "supersedes")
 
 
@@ -72,12 +72,35 @@ def ingest(rows: DataFrame, *, seq: str, data: str, label: str | None = None, ct
     return Store(meta, chunks, base.select("seq", F.explode("tags").alias("tag")), base.filter("namespace is not null").select("seq", cut(F.col("namespace"), NAMESPACE).alias("namespace")))
 
 
+class SequenceTaken(ValueError):
+    pass
+
+
+def append(store: Store, rows: DataFrame, *, dedup: bool = False, dedup_min: int = DEDUP_MIN, **columns) -> Store:
+    """The store with another batch (``columns`` as for ``ingest``). With dedup, content that the store has already
+    is owned by the blob that owns it there. A sequence number that the store has is refused."""
+    new = ingest(rows, dedup=dedup, dedup_min=dedup_min, **columns)
+    taken = new.meta.join(store.meta.select("seq"), "seq", "left_semi").select("seq").take(1)
+    if taken:
+        raise SequenceTaken(taken[0].seq)
+    meta, chunks = new.meta, new.chunks
+    if dedup:
+        there = store.meta.filter(F.col("length") >= dedup_min).groupBy("sha256").agg(F.min("owner").alias("__there"))
+        meta = meta.join(there, "sha256", "left").withColumn("owner", F.when(F.col("length") >= dedup_min, F.coalesce("__there", "owner")).otherwise(F.col("owner"))).drop("__there")
+        chunks = chunks.join(meta.filter("seq = owner").select("seq"), "seq", "left_semi")
+    both = lambda a, b: a.unionByName(b.select(*a.columns))
+    return Store(both(store.meta, meta), both(store.chunks, chunks), both(store.tags, new.tags), both(store.namespaces, new.namespaces))
+
+
+def namespace_of(store: Store, seq: int) -> DataFrame:
+    return store.namespaces.filter(F.col("seq") == seq).select("namespace")
+
+
 def read(store: Store, seqs: DataFrame | None = None) -> DataFrame:
     """(seq, data, intact): chunks joined in order; intact says that length and SHA-256 agree."""
     meta = store.meta if seqs is None else store.meta.join(seqs.select("seq").distinct(), "seq", "left_semi")
     parts = meta.select("seq", "owner", "length", "sha256").join(store.chunks.select(F.col("seq").alias("owner"), "idx", "data"), "owner", "left")
-    listed = F.array_sort(F.collect_list(F.when(F.col("idx").isNotNull(), F.struct("idx", "data"))))
-    whole = F.aggregate(F.transform(listed, lambda x: x["data"]), F.lit(b""), lambda a, x: F.concat(a, x))
+    whole = F.coalesce(F.expr("listagg(data) WITHIN GROUP (ORDER BY idx)"), F.lit(b""))
     out = parts.groupBy("seq", "length", "sha256").agg(whole.alias("data"))
     return out.select("seq", "data", ((F.octet_length("data") == F.col("length")) & (F.sha2("data", 256) == F.col("sha256"))).alias("intact"))
 
@@ -94,9 +117,7 @@ def read_range(store: Store, seq: int, offset: int, length: int, *, chunk: int =
         return spark.createDataFrame([(seq, bytearray())], "seq long, data binary")
     a, b = offset // chunk, (offset + length - 1) // chunk
     some = store.chunks.filter((F.col("seq") == found[0]["owner"]) & F.col("idx").between(a, b))
-    listed = F.array_sort(F.collect_list(F.struct("idx", "data")))
-    whole = F.aggregate(F.transform(listed, lambda x: x["data"]), F.lit(b""), lambda s, x: F.concat(s, x))
-    return some.agg(whole.alias("d")).select(F.lit(seq).cast("long").alias("seq"), F.substring("d", offset - a * chunk + 1, length).alias("data"))
+    return some.agg(F.expr("listagg(data) WITHIN GROUP (ORDER BY idx)").alias("d")).select(F.lit(seq).cast("long").alias("seq"), F.substring("d", offset - a * chunk + 1, length).alias("data"))
 
 
 def by_sequence(store: Store, seqs: DataFrame) -> DataFrame:

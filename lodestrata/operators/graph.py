@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,15 +17,17 @@ def children(edges: DataFrame, parent: int) -> DataFrame:
 def chain(nodes: DataFrame, start: int, max_hops: int) -> DataFrame:
     """(hop, node): the walk from a node along the parents named, newest first, at most max_hops + 1
     nodes; it stops at a node that isn't there. ``nodes`` has node and parent."""
-    spark = nodes.sparkSession
-    nodes.select("node", "parent").createOrReplaceTempView("__chain_nodes")
-    return spark.sql(
+    spark, view = nodes.sparkSession, f"nodes_{uuid.uuid4().hex}"
+    nodes.select("node", "parent").createOrReplaceTempView(view)
+    out = spark.sql(
         f"""WITH RECURSIVE walk MAX RECURSION LEVEL {int(max_hops) + 2} AS (
-              SELECT 0 AS hop, node, parent FROM __chain_nodes WHERE node = {int(start)}
+              SELECT 0 AS hop, node, parent FROM {view} WHERE node = {int(start)}
               UNION ALL
-              SELECT w.hop + 1, n.node, n.parent FROM walk w JOIN __chain_nodes n ON n.node = w.parent WHERE w.hop < {int(max_hops)}
+              SELECT w.hop + 1, n.node, n.parent FROM walk w JOIN {view} n ON n.node = w.parent WHERE w.hop < {int(max_hops)}
             ) SELECT hop, node FROM walk ORDER BY hop"""
     )
+    spark.catalog.dropTempView(view)  # the plan is resolved
+    return out
 
 
 def path(nodes: DataFrame, source: int, target: int, max_depth: int) -> DataFrame:

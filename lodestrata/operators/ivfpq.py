@@ -108,12 +108,12 @@ def kmeans(x: np.ndarray, k: int, metric: str, iterations: int, seed: int) -> np
 
 def near_order(c: np.ndarray) -> np.ndarray:
     """Centroids relabelled along a chain of nearest neighbours, so that near clusters have near numbers."""
-    left, order = set(range(1, len(c))), [0]
-    while left:
-        rest = np.array(sorted(left))
-        d = ((c[rest] - c[order[-1]]) ** 2).sum(1)
-        order.append(int(rest[d.argmin()]))
-        left.discard(order[-1])
+    order, free = [0], np.ones(len(c), bool)
+    free[0] = False
+    while free.any():
+        d = np.where(free, ((c - c[order[-1]]) ** 2).sum(1), np.inf)
+        order.append(int(d.argmin()))
+        free[order[-1]] = False
     return c[order]
 
 
@@ -184,18 +184,25 @@ def decode(index: Index, code: bytes) -> np.ndarray:
 # ---- building ----------------------------------------------------------------------------------
 
 
-def encoded(index: Index, table: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(vec_id, cluster_id, code, vector) of every valid row."""
+def encoded(index: Index, table: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", skip_invalid: bool = False) -> DataFrame:
+    """(vec_id, cluster_id, code, vector) of every row. A vector of the wrong length, or not finite, is refused
+    with an error, unless such rows are to be skipped."""
     if index.centroids is None:
         raise IndexNotTrained
     held = table.sparkSession.sparkContext.broadcast(index)
     raw = index.config.store_raw_vectors
-    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("vector")).filter(valid(F.col("vector"), index.config.dim))
+    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("vector"))
+    ok = valid(F.col("vector"), index.config.dim)
+    if skip_invalid:
+        rows = rows.filter(ok)
+    else:
+        refused = F.raise_error(F.concat(F.lit("no vector that the index can hold: "), F.coalesce(F.col("vec_id").cast("string"), F.lit("null"))))
+        rows = rows.select("vec_id", F.when(F.coalesce(ok, F.lit(False)), F.col("vector")).otherwise(refused.cast("array<float>")).alias("vector"))
 
     def run(batches):
         for b in batches:
             if b.num_rows:
-                x = np.array(b.column(1).to_pylist(), float)
+                x = np.asarray(b.column(1).flatten(), float).reshape(b.num_rows, -1)
                 at, code = encode(held.value, x)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary()), b.column(1) if raw else pa.nulls(b.num_rows, b.column(1).type)], names=["vec_id", "cluster_id", "code", "vector"])
 
@@ -324,8 +331,10 @@ def search(spark: SparkSession, index: Index, queries: dict[int, list[float]], p
         _, q = held.value
         for b in batches:
             if b.num_rows:
-                x = np.array(b.column(2).to_pylist(), float)
-                d = np.array([_distances(metric, q[i][None], x[k : k + 1])[0, 0] for k, i in enumerate(b.column(0).to_pylist())])
+                x, of, d = np.asarray(b.column(2).flatten(), float).reshape(b.num_rows, -1), b.column(0).to_numpy(), np.zeros(b.num_rows)
+                for i in np.unique(of).tolist():
+                    at = np.flatnonzero(of == i)
+                    d[at] = _distances(metric, q[i][None], x[at])[0]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d)], names=["query_id", "vec_id", "distance"])
 
     raw = base.select("vec_id", "vector").filter("vector is not null")

@@ -7,21 +7,24 @@ each query of the block, and only those are shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
 
 
-def nearest(table: DataFrame, query: list[float], k: int, *, id_col: str = "vec_id", vec_col: str = "embedding", metric: str = "cosine", digits: int | None = None) -> DataFrame:
-    """(id, distance) of the k nearest; ties by id. k = 0 gives no rows."""
-    d = V.distance(metric, F.col(vec_col), V.literal(query))
-    if digits is not None:
-        d = F.round(d, digits)
-    return table.select(id_col, d.alias("distance")).orderBy("distance", id_col).limit(k)
+def nearest(table: DataFrame, query: list[float], k: int, *, id_col: str = "vec_id", vec_col: str = "embedding", metric: str | Callable[[Column, Column], Column] = "cosine", digits: int | None = None) -> DataFrame:
+    """(id, distance) of the k nearest; ties by id. k = 0 gives no rows. ``metric`` is a name or a function of two vector
+    columns; ``digits`` rounds what is shown, not what is compared."""
+    a, b = F.col(vec_col), V.literal(query)
+    d = metric(a, b) if callable(metric) else V.distance(metric, a, b)
+    best = table.select(id_col, d.alias("distance")).orderBy("distance", id_col).limit(k)
+    return best if digits is None else best.select(id_col, F.round("distance", digits).alias("distance"))
 
 
 def _distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:

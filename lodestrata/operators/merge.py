@@ -53,6 +53,17 @@ def bitwise_or(operand: Column) -> Column:
     return F.bit_or(operand)
 
 
+def bitwise_or_bytes(df: DataFrame, keys: list[str], operand: str, order: str, out: str) -> DataFrame:
+    """Bitwise or of byte strings of any length, in order; one of another length than the value before changes nothing."""
+
+    def step(key: tuple, old: bytes | None, new: bytes | None) -> bytes | None:
+        if old is None or new is None:
+            return new if old is None else old
+        return (int.from_bytes(old) | int.from_bytes(new)).to_bytes(len(old)) if len(old) == len(new) else old
+
+    return fold_python(df, keys, operand, order, T.StructField(out, T.BinaryType()), step)
+
+
 def bytes_append(df: DataFrame, keys: list[str], operand: str, order: str, out: str, run: int = 1 << 16) -> DataFrame:
     """Operands of a key joined in order.
 
@@ -60,9 +71,10 @@ def bytes_append(df: DataFrame, keys: list[str], operand: str, order: str, out:
     key's operands are spread, and only its result, which is one value by nature, meets in one place.
     """
     part = F.call_function("div", F.col(order), F.lit(run))
-    joined = lambda o, v: F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct(o.alias("o"), v.alias("v")))), lambda x: x["v"]), F.lit(b""), lambda a, x: F.concat(a, x))
-    runs = df.filter(F.col(operand).isNotNull()).groupBy(*keys, part.alias("__part")).agg(joined(F.col(order), F.col(operand).cast("binary")).alias("__v"))
-    return runs.groupBy(*keys).agg(joined(F.col("__part"), F.col("__v")).alias(out))
+    joined = lambda v, o: F.expr(f"listagg({v}) WITHIN GROUP (ORDER BY {o})")
+    rows = df.filter(F.col(operand).isNotNull()).select(*keys, part.alias("__part"), F.col(order).alias("__o"), F.col(operand).cast("binary").alias("__v"))
+    runs = rows.groupBy(*keys, "__part").agg(joined("__v", "__o").alias("__v"))
+    return runs.groupBy(*keys).agg(joined("__v", "__part").alias(out))
 
 
 def fold(df: DataFrame, keys: list[str], operand: str, order: str, out: str, start: Column, step: Callable[[Column, Column], Column], finish: Callable[[Column], Column] | None = None) -> DataFrame:

@@ -209,6 +209,12 @@ def merge_float_add(spark, d):
     return _events(spark, d).groupBy("user_id").agg(F.round(merge.float_add(F.col("value")), 4).alias("total"))
 
 
+def merge_bitwise_or_bytes(spark, d):
+    """Two-byte operands, and some of three bytes that change nothing after the first."""
+    e = _events(spark, d).withColumn("b", F.unhex(F.lpad(F.hex(F.col("n") % 65536), 4, "0")))
+    return merge.bitwise_or_bytes(e, ["user_id"], "b", "event_id", "bits").select("user_id", F.hex("bits").alias("bits"))
+
+
 def merge_bytes_append(spark, d):
     e = _events(spark, d).withColumn("b", F.concat(F.substring("event_type", 1, 1), F.lit("|")))
     return merge.bytes_append(e, ["user_id"], "b", "event_id", "log").select("user_id", F.decode("log", "utf-8").alias("log"))
@@ -312,6 +318,18 @@ def vector_f32_codec(spark, d):
     return raw.select("vec_id", F.octet_length("raw").cast("long").alias("n_bytes"), (V.read_f32_le(F.col("raw")) == F.col("embedding")).alias("same"))
 
 
+def vector_nan_bits(spark, d):
+    """Bits of vectors some elements of which are NaN: these are 0."""
+    e = F.transform("embedding", lambda x, i: F.when((i % 3) == 0, F.lit(float("nan")).cast("float")).otherwise(x))
+    return _vectors(spark, d).select("vec_id", F.hex(V.quantize_binary(e)).alias("bits"))
+
+
+def knn_custom(spark, d):
+    """The largest difference of an element as the distance."""
+    largest = lambda a, b: F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y)))
+    return knn.nearest(_vectors(spark, d), _query(spark, d), 10, metric=largest, digits=5)
+
+
 def _knn(metric):
     def query(spark, d):
         return knn.nearest(_vectors(spark, d), _query(spark, d), 10, metric=metric, digits=5)
@@ -338,6 +356,13 @@ def metadata_predicates(spark, d):
     return j.select("vec_id", *[metadata.passes(p, F.col("has")).alias(f"p_{k}") for k, p in filters.items()])
 
 
+def metadata_types(spark, d):
+    """Equality across types is false, order across numbers is by value."""
+    q, f = F.col("quality"), F.col("quality").cast("double")
+    found = {"int_int": metadata.eq(q, 1), "int_float": metadata.eq(q, 1.0), "float_int": metadata.eq(f, 1), "float_float": metadata.eq(f, 1.0), "text_int": metadata.eq(q.cast("string"), 1), "ne_float": metadata.ne(q, 1.0), "ge_float": metadata.ge(q, 0.5)}
+    return table(spark, d, "labels").select("doc_id", *[c.alias(k) for k, c in found.items()])
+
+
 # ---- index -------------------------------------------------------------------------------------
 
 
@@ -410,6 +435,17 @@ def ann_recall(spark, d):
     return out
 
 
+def ann_recall_gate(spark, d):
+    """For searches that probe six of eight clusters: how many queries, and whether at least 0.9 of the ten nearest by brute force are found."""
+    out = None
+    for metric in ("euclidean_sq", "cosine"):
+        truth = knn.nearest_many(_vectors(spark, d), _asked(spark, d), 10, metric=metric).select("query_id", F.col("id").alias("vec_id"))
+        hits = _search(spark, d, ivfpq.SearchParams(10, nprobe=6), metric).select("query_id", "vec_id", F.lit(1).alias("hit"))
+        one = truth.join(hits, ["query_id", "vec_id"], "left").agg(F.lit(metric).alias("metric"), F.count_distinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def ann_upsert_remove(spark, d):
     """Ids in the index after inserting moved vectors and removing some."""
     index = _index(spark, d)
@@ -440,6 +476,23 @@ def blob_meta(spark, d):
     return _blobs(spark, d).meta.select("seq", "label", "length", "sha256", "owner")
 
 
+def blob_content_types(spark, d):
+    code = (F.col("doc_id") % 12).cast("int")
+    return table(spark, d, "documents").select("doc_id", blobs.content_type(code).alias("content_type"))
+
+
+def blob_append(spark, d):
+    """Two batches; the second's copies of content in the first are owned there."""
+    docs = table(spark, d, "documents")
+    columns = {"seq": "doc_id", "data": "text", "dedup": True, "dedup_min": 1000, "chunk": 1024}
+    s = blobs.append(blobs.ingest(docs.filter("doc_id % 2 = 1"), **columns), docs.filter("doc_id % 2 = 0"), **columns)
+    return blobs.read(s).join(s.meta.select("seq", "owner", "sha256"), "seq").select("seq", "owner", "sha256", "intact")
+
+
+def blob_namespace_of(spark, d):
+    return blobs.namespace_of(_blobs(spark, d), 2)
+
+
 def blob_by_sequence(spark, d):
     s = _blobs(spark, d)
     return blobs.by_sequence(s, table(spark, d, "embeddings").select(F.col("vec_id").alias("seq"))).select("seq", "length")
@@ -605,6 +658,20 @@ def store_time_travel(spark, d):
     return s.read("orders", s.version_at(2500))
 
 
+def store_savepoint_kept(spark, d):
+    """A savepoint pins its version against retention, for any session."""
+    s = S.TableStore(spark, root := S.scratch(spark, "store"), keep=1)
+    o = orders(spark, d)
+    for i in (1, 2, 3):
+        t = s.begin(i)
+        t.write("orders", o.filter(F.col("o_orderkey") % 4 < i))
+        t.commit()
+        if i == 1:
+            s.savepoint("first")
+    other = S.TableStore(spark, root, keep=1)
+    return other.read("orders", other.savepoints()["first"]).withColumn("versions", F.lit(",".join(map(str, other.versions()))))
+
+
 def store_savepoint(spark, d):
     s = S.TableStore(spark, S.scratch(spark, "store"))
     o = orders(spark, d)
@@ -671,6 +738,26 @@ def cdc_engine_retention(spark, d):
     return e.log().groupBy("txn").agg(F.count("*").alias("n"))
 
 
+def _mutated(spark, d):
+    """An engine after retain, extract, drain and changes of a multimap."""
+    e = Engine(spark, S.scratch(spark, "engine"), EngineConfig(cdc=True))
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    k, pairs = F.col("c_custkey"), c.select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("v"))
+    e.commit(1, lambda t: e.apply(t, "customer", ["c_custkey"], c.unionByName(c)), lambda t: e.insert_pairs(t, "of_nation", pairs.filter("v % 2 = 0")))
+    e.commit(2, lambda t: e.retain(t, "customer", ["c_custkey"], k % 5 != 0), lambda t: e.insert_pairs(t, "of_nation", pairs.filter("v % 3 = 0")))
+    e.commit(3, lambda t: e.extract(t, "customer", ["c_custkey"], k % 7 == 0), lambda t: e.remove_pairs(t, "of_nation", pairs.filter("v % 4 = 0")))
+    e.commit(4, lambda t: e.drain(t, "customer", "c_custkey", Bounds(10, 50)), lambda t: e.drain_pairs(t, "of_nation", Bounds(3, 6)))
+    return e
+
+
+def cdc_mutations(spark, d):
+    """Every mutation's events: of ordered tables and multimaps."""
+    log = _mutated(spark, d).log()
+    number = lambda c, path: F.get_json_object(c, path).cast("long")
+    value = lambda c: F.coalesce(number(c, "$.c_nationkey"), number(c, "$.v"))
+    return log.select("txn", "tab", "op", F.coalesce(number("key", "$.c_custkey"), number("key", "$.k")).alias("k"), value("old_value").alias("old"), value("new_value").alias("new"))
+
+
 def kv_salvage(spark, d):
     """A copy of a table beside a file that is no parquet."""
     folder = S.scratch(spark, "salvage")
@@ -702,10 +789,10 @@ def graph_edge_context(spark, d):
 
 
 def ann_codebooks(spark, d):
-    """(subvector, codeword) of a trained index: the shape of its codebooks."""
+    """(subvector, number, codeword) of a trained index."""
     index = ivfpq.train(_vectors(spark, d), ivfpq.IndexConfig(64, 8, 16))
-    m, k, width = index.codebooks.shape
-    return spark.range(m * k).select((F.col("id") / k).cast("int").alias("m"), (F.col("id") % k).alias("k"), F.lit(width).alias("width"))
+    rows = [(m, k, [float(x) for x in word]) for m, book in enumerate(index.codebooks) for k, word in enumerate(book)]
+    return spark.createDataFrame(rows, "m int, k int, codeword array<double>")
 
 
 def hlc_clock(spark, d):

@@ -22,7 +22,7 @@ COS = f"1 - greatest(-1.0, least(1.0, {DOT} / ({NORM} * sqrt({SUMSQ.format('q')}
 
 
 def knn(d: str, where: str = "") -> str:
-    return f"SELECT vec_id, distance FROM (SELECT vec_id, round({d}, 5) AS distance FROM ({PAIR}) {where}) ORDER BY distance, vec_id LIMIT 10"
+    return f"SELECT vec_id, round(distance, 5) AS distance FROM (SELECT vec_id, {d} AS distance FROM ({PAIR}) {where} ORDER BY 2, vec_id LIMIT 10)"
 
 
 def knn_many(d: str, where: str = "") -> str:
@@ -62,7 +62,7 @@ UPS = f"SELECT b.k, b.v FROM ({B}) b LEFT JOIN ({A}) a USING (k) WHERE a.k IS NU
 DEL = f"SELECT k FROM ({A}) WHERE k NOT IN (SELECT k FROM ({B}))"
 
 DOCB = "SELECT doc_id AS seq, doc_id * 3600000000000 AS wall_ns, lang, source FROM documents"
-NEAR50 = f"SELECT vec_id AS seq, distance FROM (SELECT vec_id, round({COS}, 6) AS distance FROM ({PAIR})) ORDER BY distance, seq LIMIT 50"
+NEAR50 = f"SELECT vec_id AS seq, round(distance, 6) AS distance FROM (SELECT vec_id, {COS} AS distance FROM ({PAIR}) ORDER BY 2, vec_id LIMIT 50)"
 DAY = 86400000000000
 DOCN = "SELECT doc_id AS node, CASE WHEN doc_id % 4 <> 0 THEN doc_id - doc_id % 4 WHEN doc_id > 0 THEN doc_id // 8 * 4 END AS parent FROM documents"
 
@@ -178,6 +178,24 @@ SQL: dict[str, str] = {
     "ann_filtered_many": knn_many(L2_MANY, "LEFT JOIN labels l ON l.doc_id = b.vec_id WHERE a.vec_id % 20 = 0 AND (l.doc_id IS NULL OR quality = 1)"),
     "ann_upsert_remove": "SELECT * FROM (SELECT vec_id, 16 AS code_bytes FROM embeddings UNION SELECT vec_id + CASE WHEN vec_id % 2 = 0 THEN 0 ELSE 100000 END, 16 FROM embeddings WHERE vec_id % 7 = 0) WHERE vec_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 5 = 0)",
     "blob_read": f"SELECT seq, sha256, CAST(length AS BIGINT) AS n_bytes, true AS intact FROM ({BLOBS})",
+    "blob_meta": f"""SELECT seq, left(text, list_max(list_filter(range(0, 64), lambda k: octet_length(encode(left(text, k))) <= 63))) AS label, CAST(length AS BIGINT) AS length, sha256, owner FROM ({BLOBS})""",
+    "blob_content_types": "SELECT doc_id, coalesce(['application/octet-stream', 'image/png', 'image/jpeg', 'audio/wav', 'audio/ogg', 'video/mp4', 'application/vnd.las', 'application/x-imu', 'application/x-embedding', 'application/json'][CAST(doc_id % 12 + 1 AS INT)], 'application/octet-stream') AS content_type FROM documents",
+    "blob_append": "SELECT doc_id AS seq, sha256(text) AS sha256, true AS intact, CASE WHEN octet_length(encode(text)) >= 1000 THEN coalesce(min(doc_id) FILTER (WHERE doc_id % 2 = 1) OVER w, min(doc_id) OVER w) ELSE doc_id END AS owner FROM documents WINDOW w AS (PARTITION BY text)",
+    "blob_namespace_of": "SELECT lang AS namespace FROM documents WHERE doc_id = 2",
+    "vector_nan_bits": f"SELECT vec_id, array_to_string({BITS}, '') AS bits FROM (SELECT vec_id, list_transform(e, lambda x, i: CASE WHEN (i - 1) % 3 = 0 THEN 0.0 ELSE x END) AS e FROM ({VEC}))",
+    "knn_custom": knn("list_max(list_transform(list_zip(e, q), lambda p: abs(p[1] - p[2])))"),
+    "metadata_types": "SELECT doc_id, quality = 1 AS int_int, false AS int_float, false AS float_int, quality = 1 AS float_float, false AS text_int, true AS ne_float, quality >= 0.5 AS ge_float FROM labels",
+    "ann_recall_gate": "SELECT m AS metric, count(*) AS queries, true AS enough FROM embeddings, (VALUES ('euclidean_sq'), ('cosine')) v(m) WHERE vec_id % 20 = 0 GROUP BY m",
+    "merge_bitwise_or_bytes": f"SELECT user_id, printf('%04X', bit_or(n % 65536)) AS bits FROM ({EV}) GROUP BY user_id",
+    "store_savepoint_kept": f"SELECT *, '1,3' AS versions FROM ({ORD}) WHERE o_orderkey % 4 < 1",
+    "cdc_mutations": f"""SELECT 1 AS txn, 'customer' AS tab, 'insert' AS op, c_custkey AS k, CAST(NULL AS BIGINT) AS old, c_nationkey AS new FROM customer
+        UNION ALL SELECT 2, 'customer', 'delete', c_custkey, c_nationkey, NULL FROM customer WHERE c_custkey % 5 = 0
+        UNION ALL SELECT 3, 'customer', 'delete', c_custkey, c_nationkey, NULL FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 7 = 0
+        UNION ALL SELECT 4, 'customer', 'delete', c_custkey, c_nationkey, NULL FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 AND c_custkey >= 10 AND c_custkey < 50
+        UNION ALL SELECT 1, 'of_nation', 'insert', c_nationkey, NULL, c_custkey FROM customer WHERE c_custkey % 2 = 0
+        UNION ALL SELECT 2, 'of_nation', 'insert', c_nationkey, NULL, c_custkey FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 <> 0
+        UNION ALL SELECT 3, 'of_nation', 'delete', c_nationkey, c_custkey, NULL FROM customer WHERE c_custkey % 4 = 0
+        UNION ALL SELECT 4, 'of_nation', 'delete', c_nationkey, c_custkey, NULL FROM customer WHERE (c_custkey % 2 = 0 OR c_custkey % 3 = 0) AND c_custkey % 4 <> 0 AND c_nationkey >= 3 AND c_nationkey < 6""",
     "blob_range_read": "SELECT doc_id AS seq, substr(hex(encode(text)), 2001, 2400) AS data FROM documents WHERE doc_id = 3",
     "blob_by_sequence": f"SELECT seq, length FROM ({BLOBS}) WHERE seq IN (SELECT vec_id FROM embeddings)",
     "blob_stats": f"SELECT count(*) AS blob_count, CAST(sum(length) FILTER (WHERE seq = owner) AS BIGINT) AS live_bytes, 0 AS dead_bytes, CAST(0 AS DOUBLE) AS fragmentation FROM ({BLOBS})",

@@ -2,9 +2,9 @@
 
 A builder like
 
-    CompositeQuery(blobs).semantic(neighbours, 0.6).temporal(0.3).time_range(a, b).causal(hops, 0.1).tag("x").top_k(10)
+    CompositeQuery.of(store).semantic(neighbours, 0.6).temporal(0.3).time_range(a, b).causal(hops, 0.1).tag("x").top_k(10)
 
-gives one DataFrame plan. Candidates are the union of what each signal brings; namespace and tags filter
+gives one DataFrame plan (``nearest_to`` and ``causal_from`` find the neighbours and the hops themselves). Candidates are the union of what each signal brings; namespace and tags filter
 them after that, so fewer than top_k may be left; scores are normalised over the filtered candidates, but
 hop counts over the whole causal set.
 """
@@ -16,6 +16,11 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.blobs import Store, in_namespace, with_tags
+from ..operators.graph import hops
+from ..operators.knn import nearest
+from ..sources.store import put, scratch
+
 
 class InvalidQuery(ValueError):
     pass
@@ -32,6 +37,33 @@ class CompositeQuery:
     span: tuple[int, int] | None = None
     filters: tuple[DataFrame, ...] = ()
     k: int = 10
+    store: Store | None = None
+
+    @staticmethod
+    def of(store: Store) -> CompositeQuery:
+        """A query over a blob store, which ``tag`` and ``namespace`` need."""
+        return CompositeQuery(store.meta.select("seq", "wall_ns"), store=store)
+
+    def tag(self, *tags: str) -> CompositeQuery:
+        """Keep candidates that have all these tags."""
+        return self.only(with_tags(self._store(), list(tags)))
+
+    def namespace(self, name: str) -> CompositeQuery:
+        return self.only(in_namespace(self._store(), name))
+
+    def _store(self) -> Store:
+        if self.store is None:
+            raise InvalidQuery("tags and namespaces need a blob store")
+        return self.store
+
+    def nearest_to(self, vectors: DataFrame, query: list[float], weight: float, *, metric: str = "cosine", n: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> CompositeQuery:
+        """The semantic signal of an exact search for ``n`` vectors (five times top_k, which is to be set before)."""
+        found = nearest(vectors, query, 5 * self.k if n is None else n, id_col=id_col, vec_col=vec_col, metric=metric)
+        return self.semantic(found.select(F.col(id_col).alias("seq"), "distance"), weight)
+
+    def causal_from(self, edges: DataFrame, nodes: DataFrame, root: int, max_hops: int, weight: float) -> CompositeQuery:
+        """The causal signal of all that is within some hops of a root."""
+        return self.causal(hops(edges, nodes, root, max_hops).select(F.col("node").alias("seq"), "hops"), weight)
 
     def semantic(self, neighbours: DataFrame, weight: float) -> CompositeQuery:
         """(seq, distance) of an exact or indexed search, for about five times top_k."""
@@ -89,6 +121,7 @@ class CompositeQuery:
             found = found.join(F.broadcast(furthest))
         else:
             found = found.withColumn("max_hops", F.lit(0))
+        found = put(found, scratch(self.blobs.sparkSession, "candidates"))  # read twice: once for the ends of the scales
         good = F.col("distance").isNotNull() & ~F.isnan("distance") & (F.abs("distance") < F.lit(3.4028234663852886e38))
         ends = found.agg(F.min(F.when(good, F.col("distance"))).alias("d0"), F.max(F.when(good, F.col("distance"))).alias("d1"), F.min("wall_ns").alias("t0"), F.max("wall_ns").alias("t1"))
         found = found.join(F.broadcast(ends))  # one row

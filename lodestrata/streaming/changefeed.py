@@ -2,7 +2,7 @@
 
 ``tail`` follows a folder of change files. ``apply_batches`` folds each micro-batch into a versioned table
 as one commit, all or nothing, and skips a batch it has already committed. ``windows`` counts events in
-time windows with a watermark for late data, and ``expiring`` keeps the live rows of a TTL table as state.
+time windows with a watermark for late data, and ``expiring`` passes on the rows of a TTL table that are live.
 """
 
 from __future__ import annotations

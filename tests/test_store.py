@@ -80,3 +80,71 @@ def test_composite_validation(spark):
             q.run()
     r = CompositeQuery(b).temporal(3.0).time_range(0, 1).run().first()
     assert (r.seq, r.score, r.semantic, r.temporal, r.causal) == (1, 1.0, None, 1.0, None)
+
+
+def test_repeated_keys_are_one_event(spark, tmp_path):
+    from lodestrata.plans.engine import Engine, EngineConfig
+
+    e = Engine(spark, f"file://{tmp_path}/engine", EngineConfig(cdc=True))
+    rows = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 3)], "k long, v string, at int")
+    e.commit(1, lambda t: e.apply(t, "x", ["k"], rows, order="at"), lambda t: e.apply(t, "x", ["k"], rows.select("k", "v")))
+    assert sorted(map(tuple, e.read("x").collect())) == [(1, "b"), (2, "c")]
+    log = e.log().orderBy("seq").collect()
+    assert [(r.op, r.key) for r in log] == [("insert", '{"k":1}'), ("insert", '{"k":2}'), ("update", '{"k":1}'), ("update", '{"k":2}')]
+    assert len({r.seq for r in log}) == 4
+
+
+def test_log_retention_rewrites_nothing(spark, tmp_path):
+    from lodestrata.plans.engine import LOG, Engine, EngineConfig
+
+    e = Engine(spark, f"file://{tmp_path}/engine", EngineConfig(cdc=True, cdc_retention=2, history_retention=1))
+    for i in range(1, 5):
+        e.commit(i, lambda t, i=i: e.apply(t, "x", ["k"], spark.createDataFrame([(i, "v")], "k long, v string")))
+    assert sorted(r.txn for r in e.log().collect()) == [3, 4]
+    assert len(e.store.fingerprint(LOG, 4)) == 2 and e.store.versions() == [4]
+    assert len(list((tmp_path / "engine" / "data" / LOG).iterdir())) == 2  # dropped folders are gone from the disk
+
+
+def test_savepoints_outlive_their_session(spark, tmp_path):
+    from lodestrata.sources.store import TableStore
+
+    s = TableStore(spark, f"file://{tmp_path}/s", keep=1)
+    for i in (1, 2, 3):
+        t = s.begin(i)
+        t.write("x", spark.range(i))
+        t.commit()
+        s.savepoint(f"p{i}")
+    other = TableStore(spark, s.root, keep=1)
+    assert other.savepoints() == {"p1": 1, "p2": 2, "p3": 3} and other.read("x", 1).count() == 1
+    assert other.delete_savepoint("p1") and not other.delete_savepoint("p1")
+    other.restore("p2", 9)
+    assert s.savepoints() == {"p2": 2} and s.read("x").count() == 2 and s.versions() == [2, 4]
+
+
+def test_blobs_are_added_to_a_store(spark, tmp_path):
+    from lodestrata.operators import blobs
+    from lodestrata.plans.engine import Engine, EngineConfig
+
+    e = Engine(spark, f"file://{tmp_path}/engine", EngineConfig(blob_dedup=True, blob_dedup_min=4))
+    batch = lambda *rows: spark.createDataFrame(rows, "seq long, data string")
+    e.commit(1, lambda t: e.store_blobs(t, batch((1, "abcdef"), (2, "xy")), seq="seq", data="data", chunk=2))
+    e.commit(2, lambda t: e.store_blobs(t, batch((3, "abcdef"), (4, "xy"), (5, "")), seq="seq", data="data", chunk=2))
+    s = e.blobs()
+    assert {r.seq: r.owner for r in s.meta.collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+    assert {r.seq: (bytes(r.data), r.intact) for r in blobs.read(s).collect()} == {1: (b"abcdef", True), 2: (b"xy", True), 3: (b"abcdef", True), 4: (b"xy", True), 5: (b"", True)}
+    assert s.chunks.filter("seq = 3").count() == 0
+    with pytest.raises(Exception, match="3"):
+        e.commit(3, lambda t: e.store_blobs(t, batch((3, "z")), seq="seq", data="data"))
+
+
+def test_composite_over_a_store(spark):
+    from lodestrata.operators import blobs
+    from lodestrata.plans.composite import CompositeQuery, InvalidQuery
+
+    rows = spark.createDataFrame([(i, "x", i * 10, ["even" if i % 2 == 0 else "odd"], "ns") for i in range(6)], "seq long, data string, w long, tags array<string>, ns string")
+    s = blobs.ingest(rows, seq="seq", data="data", wall_ns=rows["w"], namespace=rows["ns"], tags=rows["tags"])
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "vec_id long, embedding array<float>")
+    q = CompositeQuery.of(s).top_k(2).nearest_to(vectors, [5.0, 1.0], 1.0, metric="euclidean_sq").namespace("ns")
+    assert [r.seq for r in q.tag("even").run().collect()] == [4, 2]
+    with pytest.raises(InvalidQuery):
+        CompositeQuery(s.meta).tag("even")

@@ -87,4 +87,8 @@ def test_index_edges(spark, data, tmp_path):
         ivfpq.search(spark, index, {1: [0.0] * 4}, ivfpq.SearchParams(3))
     assert len(ivfpq.decode(index, b"\x00" * 8)) == 16 and len(ivfpq.decode(index, b"")) == 0
     bad = spark.createDataFrame([(1, [float("nan")] * 16), (2, [1.0]), (3, None), (4, [1.0] * 16)], "vec_id long, embedding array<float>")
-    assert [r.vec_id for r in ivfpq.encoded(index, bad).collect()] == [4]
+    assert [r.vec_id for r in ivfpq.encoded(index, bad, skip_invalid=True).collect()] == [4]
+    for i in (1, 2, 3):
+        with pytest.raises(Exception, match="no vector that the index can hold"):
+            ivfpq.encoded(index, bad.filter(f"vec_id = {i}")).collect()
+    assert ivfpq.encoded(index, bad.filter("vec_id = 4")).count() == 1
