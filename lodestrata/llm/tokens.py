@@ -2,11 +2,10 @@
 
 Texts repeat words far more than they repeat texts. Where the tokenizer's rules make it exact, a text is
 cut at single spaces and each distinct piece is encoded once and remembered; other texts are encoded
-whole. The memory is bounded in bytes: pieces met in one call only (most are) go to a generation of at most about
-``FRESH_BYTES``, those met again to one of ``HOT_BYTES``; a full generation is kept as the one before until
-the next is full, and pieces longer than ``LONGEST`` aren't kept beyond their call. The end of a task drops the
-former. A text that may hold an added token of the tokenizer is encoded whole, so that it becomes what the library
-makes of it.
+whole. The memory is bounded: a generation holds about ``REMEMBERED`` pieces and is then kept as the one before until
+the next is full; pieces of more than ``LONGEST`` characters aren't kept beyond their call, so that a piece takes 1 kB at
+most and about 260 bytes on average (200 MB of a process for both generations). A text that may hold an added token of the
+tokenizer is encoded whole, so that it becomes what the library makes of it.
 
 - Byte-level rules (a space joins the word after it): a piece is a space and the run up to the next
   space. A text with white space after a space is encoded whole, for such a run is split otherwise.
@@ -22,9 +21,8 @@ from itertools import filterfalse, islice
 
 import numpy as np
 
-#: Bytes of a generation of remembered pieces, what a piece takes besides its text and ids, and its most characters.
-HOT_BYTES, FRESH_BYTES, EACH, LONGEST = 64 << 20, 16 << 20, 300, 200
-JOINED = 64
+#: Pieces of a generation, characters of the longest that is kept, and words of a call of the model.
+REMEMBERED, LONGEST, JOINED = 400_000, 64, 64
 #: Marks that are split from a word before them.
 MARKS = frozenset(".,;:!?")
 #: Byte-level form of the letters U+00C0 to U+00FF: each of a letter's two bytes as the character that stands for it.
@@ -53,19 +51,6 @@ def simple(word: str) -> bool:
     return word.isascii() or all(c < "\x80" or "\xc0" <= c <= "\xff" for c in word)
 
 
-class Memory(dict):
-    """Pieces met more than once; one that isn't there is looked up among the new ones."""
-
-    __slots__ = ("fresh",)
-
-    def __missing__(self, piece: str) -> bytes | bool:
-        return self.fresh[piece]
-
-
-def weight(pieces: dict[str, bytes | bool]) -> int:
-    return sum(EACH + len(k) + (len(v) if v else 0) for k, v in pieces.items())
-
-
 class Encoder:
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the unit of parallelism
@@ -75,10 +60,9 @@ class Encoder:
         self.t = Tokenizer.from_file(path)
         rules = json.loads(self.t.to_str())
         self.size = self.t.get_vocab_size()
-        self.hot, self.warm = Memory(), {}
-        self.fresh: dict[str, bytes | bool] = {}
-        self.stale: dict[str, bytes | bool] = {}
-        self.held = {"hot": 0, "fresh": 0}
+        self.memory: dict[str, bytes | bool] = {}
+        self.older: dict[str, bytes | bool] = {}
+        self.long: list[str] = []
         pre, norm = rules.get("pre_tokenizer") or {}, rules.get("normalizer")
         self.kind, self.model = "whole", Tokenizer.from_file(path)
         #: What an added token begins with: signs that the rules leave as they are.
@@ -147,43 +131,40 @@ class Encoder:
                 out[p] = self._bytes(p)
             else:
                 other.append(p)
-        new = {*plain, *(p[:-1] for p in tailed)}
+        new = {*plain, *(b for p in tailed if (b := p[:-1]) not in self.memory)}
         easy, hard = [], other
         for w in new:
             (easy if simple(w) and (lead or w == w.lower()) else hard).append(w)
-        easy.sort()
+        easy.sort(key=lambda w: (not w.isascii(), w))
         hard.sort()
         out.update(zip(easy, self._cut(self.model, easy, True), strict=True))
         out.update(zip(hard, self._cut(self.t, hard, False), strict=True))
         for p in tailed:
-            out[p] = out[p[:-1]] + self.marks[p[-1]]
+            base = p[:-1]
+            out[p] = (out[base] if base in out else self.memory[base]) + self.marks[p[-1]]
         return out
 
     def _remember(self, new: set[str]) -> None:
-        """See to it that every piece is in ``hot`` or ``fresh``."""
-        for before in (self.fresh, self.stale, self.warm):
-            again = {p: before.pop(p) for p in new & before.keys()}
-            self.hot.update(again)
-            self.held["hot"] += weight(again)
-            new -= again.keys()
+        """See to it that every piece is in the memory."""
+        again = new & self.older.keys()
+        self.memory.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        new -= again
         if new:
             learnt = self._learn(sorted(new))
-            self.fresh.update(learnt)
-            self.held["fresh"] += weight(learnt)
+            self.long = [p for p in learnt if len(p) > LONGEST]
+            self.memory.update(learnt)
 
     def _turn(self) -> None:
         """Begin a new generation where one is full."""
-        for k in [p for p in self.fresh if len(p) > LONGEST]:
-            self.held["fresh"] -= weight({k: self.fresh.pop(k)})
-        if self.held["fresh"] > FRESH_BYTES:
-            self.stale, self.fresh, self.held["fresh"] = self.fresh, {}, 0
-        if self.held["hot"] > HOT_BYTES:
-            self.warm, self.hot, self.held["hot"] = self.hot, Memory(), 0
-        self.hot.fresh = self.fresh
+        for p in self.long:
+            self.memory.pop(p, None)
+        self.long = []
+        if len(self.memory) > REMEMBERED:
+            self.older, self.memory = self.memory, {}
 
     def rest(self) -> None:
-        """A task ends: forget the pieces met once."""
-        self.fresh, self.stale, self.held["fresh"] = {}, {}, 0
+        """A task ends: forget the pieces that are too long to be kept."""
+        self._turn()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -206,7 +187,7 @@ class Encoder:
         if lead:
             for c in cut:
                 c[0] = "."  # encoded apart: no space stands before it
-        m, out, new = self.hot, [], set()
+        m, out, new = self.memory, [], set()
         for c in cut:
             new.update(filterfalse(m.__contains__, c))
         if new:

@@ -229,20 +229,24 @@ COMBINING = [chr(i) for i in [*range(0x300, 0x30F), 0x338, 0x345, 0x483, 0x5B0,
 @pytest.mark.parametrize("path", [BYTE, WORDS])
 def test_encoder_is_exact(path, monkeypatch):
     r = random.Random(5)
-    monkeypatch.setattr(tokens, "HOT_BYTES", 100_000)
-    monkeypatch.setattr(tokens, "FRESH_BYTES", 200_000)
+    monkeypatch.setattr(tokens, "REMEMBERED", 1000)
+    monkeypatch.setattr(tokens, "LONGEST", 12)
     bits = ["a", "Foo", "bar", "é", "È", "'s", "'ll", "don't", "...", ",", ".", "!?", "\n", "\n\n", " ", "  ", "\t", "\x1c", "\xa0", "12", "3", "|", "%%%", "<|endoftext|>", "<|startoftext|>", "<|", "漢", "字", "Ⅷ", "²", "Σ", "ς", "İ", "\r\n", "_", "-", "😀", "\x00", "a.b", "x,y.", *COMBINING, *CASES]
     texts = ["", " ", " a", "a ", "|", "a | b", "<|endoftext|>", "a <|endoftext|> b", "İ."] + ["".join(r.choice(bits) + " " * (r.random() < 0.4) for _ in range(r.randint(1, 30))) for _ in range(6000)]
     texts += [x + y + z for x in (*CASES, *"aÀÿßﬁ") for y in ("", r.choice(COMBINING)) for z in ".,;:!?"]
     e = tokens.Encoder(path)
     assert e.kind in ("lead", "ends")
     texts += r.sample(texts, len(texts))
+    most = 0
     for i in range(0, len(texts), 500):
         for t, got in zip(texts[i : i + 500], e.encode(texts[i : i + 500]), strict=True):
             assert np.frombuffer(got, np.uint32).tolist() == e.t.encode(t, add_special_tokens=False).ids, t
+        most = max(most, len(e.memory))
         if i % 4000 == 0:
             e.rest()
-    assert e.warm and tokens.weight(e.hot) == e.held["hot"] < 10 * tokens.HOT_BYTES
+    assert most < 20_000 and any(len(p) > tokens.LONGEST for t in texts for p in t.split(" "))
+    e.rest()
+    assert not any(len(p) > tokens.LONGEST for p in {**e.memory, **e.older})
 
 
 def test_file_reads_only_what_is_asked():
