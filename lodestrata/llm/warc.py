@@ -49,6 +49,8 @@ BEGIN, MARK = re.compile(rb"\x1f\x8b\x08|WARC/"), 4  # what a record begins with
 FETCH, HEADER_STEP, RECORD_MOST = 1 << 20, 1 << 16, 1 << 31
 #: Bytes among which a version line ends, and places over which a digest's copies are dealt.
 VERSION_MOST, SALTS = 32, 16
+#: Bytes of a gzip member by which its content must have begun: its head has at most 64 KiB of extra fields, and a name.
+HEAD_MOST = 1 << 17
 
 
 # ---- records -----------------------------------------------------------------------------------
@@ -210,6 +212,8 @@ def inflate(w: Window, start: int) -> tuple[bytes, int, str]:
             return b"".join(out), start, f"the member can't be read ({e})"
         if pos == start and len(got) >= 5 and not got.startswith(b"WARC/"):
             raise Damage("the member holds no record")
+        if not total and not got and pos - start >= HEAD_MOST:
+            raise Damage("the member's head doesn't end")
         total += len(got)
         if total > RECORD_MOST:
             raise Damage("the member is too long")
