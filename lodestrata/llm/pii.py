@@ -235,20 +235,29 @@ def disclosing(documents: DataFrame, text_col: str, support: int, disclosure: fl
     total = documents.count()
 
     def count(batches):
-        held, size, most = [], 0, together(terms)
+        held, size, most, hits, n_hits = [], 0, together(terms), [], 0
         for b in batches:
             for s in byte_slices(b, 0):
                 held += word_sets(plain_strings(s.column(0)))
                 size += s.nbytes
                 if held and size >= most:
-                    yield counted(held)
+                    hits.append(candidates_in(held))
+                    n_hits += len(hits[-1])
                     held, size = [], 0
+                if n_hits >= GRID * 16:  # combined before they leave the task, and bounded
+                    yield counted(hits)
+                    hits, n_hits = [], 0
         if held:
-            yield counted(held)
+            hits.append(candidates_in(held))
+        if hits:
+            yield counted(hits)
 
-    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+    def candidates_in(sets: list[np.ndarray]) -> np.ndarray:
         every = np.concatenate(sets)
-        t, n = np.unique(every[in_blocks(terms, every)], return_counts=True)
+        return every[in_blocks(terms, every)]
+
+    def counted(hits: list[np.ndarray]) -> pa.RecordBatch:
+        t, n = np.unique(np.concatenate(hits), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n.astype(np.int64))], names=["t", "n"])
 
     df_term = text.mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("df_t"))
