@@ -78,6 +78,9 @@ class Encoder:
             bar = self._ids("|")
             if len(bar) == 1:
                 self.kind, self.bar = "ends", bar[0]
+                final = np.zeros(self.size, bool)  # what a word of letters ends with, and nothing else in it is
+                final[[i for w, i in self.t.get_vocab().items() if w.endswith(rules["model"]["end_of_word_suffix"])]] = True
+                self.final = final
                 self.model.normalizer = None
                 self.model.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         if "" in self.added:
@@ -95,7 +98,8 @@ class Encoder:
         if plain and lead:
             joined = ["Ġ" + " Ġ".join(words[i : i + JOINED]).translate(BYTES) for i in range(0, len(words), JOINED)]
         else:
-            joined = [(" " + " ".join(words[i : i + JOINED]) if lead else " | ".join(words[i : i + JOINED])) for i in range(0, len(words), JOINED)]
+            between = " " if lead or plain else " | "
+            joined = [" " * lead + between.join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
         out: list[bytes] = []
         for k, e in enumerate(t.encode_batch_fast(joined, add_special_tokens=False)):
             group = words[k * JOINED : (k + 1) * JOINED]
@@ -104,10 +108,13 @@ class Encoder:
             if lead:
                 first = (np.flatnonzero(self.lead[ids]) * 4).tolist()
                 last = [*first[1:], len(raw)]
+            elif plain:
+                last = (np.flatnonzero(self.final[ids]) * 4 + 4).tolist()
+                first = [0, *last[:-1]]
             else:
                 cut = np.flatnonzero(ids == self.bar) * 4
                 first, last = [0, *(cut + 4).tolist()], [*cut.tolist(), len(raw)]
-            if len(first) == len(group) and first[0] == 0:
+            if len(first) == len(group) and first[0] == 0 and last[-1:] == [len(raw)]:
                 out += [raw[i:j] for i, j in zip(first, last, strict=True)]
             else:
                 out += [self._bytes(" " + w if lead else w) for w in group]
@@ -135,8 +142,8 @@ class Encoder:
         easy, hard = [], other
         for w in new:
             (easy if simple(w) and (lead or w == w.lower()) else hard).append(w)
-        easy.sort(key=lambda w: (not w.isascii(), w))
-        hard.sort()
+        plainest = list(filter(str.isascii, easy))  # in calls of their own
+        easy = [*plainest, *filterfalse(str.isascii, easy)]
         out.update(zip(easy, self._cut(self.model, easy, True), strict=True))
         out.update(zip(hard, self._cut(self.t, hard, False), strict=True))
         for p in tailed:
@@ -150,7 +157,7 @@ class Encoder:
         self.memory.update(zip(again, map(self.older.__getitem__, again), strict=True))
         new -= again
         if new:
-            learnt = self._learn(sorted(new))
+            learnt = self._learn(list(new))
             self.long = [p for p in learnt if len(p) > LONGEST]
             self.memory.update(learnt)
 
