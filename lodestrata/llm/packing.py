@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .shared import byte_slices, pass_through, plain_strings, small_batches, work_dir
-from .tokens import encoder
+from .tokens import TEXT_BYTES, encoder
 
 #: Rows of the table of running sums up to which it is broadcast (about 24 bytes each).
 BROADCAST_ROWS = 1_000_000
@@ -113,7 +113,7 @@ def cut_pieces(documents: DataFrame, tokenizer_path: str, *, text_col: str, keep
         enc, seen, end = encoder(tokenizer_path), np.zeros(capacity + 1, np.int64), np.array([end_id], np.uint32).tobytes()
         part = TaskContext.get().partitionId()
         for b in batches:
-            for s in byte_slices(b, b.num_columns - 1):
+            for s in byte_slices(b, b.num_columns - 1, TEXT_BYTES):
                 ids = [x + end for x in enc.encode([t or "" for t in plain_strings(s.column(s.num_columns - 1)).to_pylist()])]
                 total = np.array([len(x) // 4 for x in ids], np.int64)
                 n = -(-total // capacity)

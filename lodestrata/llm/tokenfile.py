@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .shared import byte_slices, move_shared, one_each, open_shared, plain_strings, small_batches
-from .tokens import encoder
+from .tokens import TEXT_BYTES, encoder
 
 #: Fixed values of the format.
 INDEX_MAGIC, SEEK_MAGIC, END_MAGIC, CHECKSUM_FLAG = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -122,7 +122,7 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer_path: str, *,
         final = f"{folder}/part-{part:08d}.ids.zst"
         draft = f"{folder}/_draft/{part:08d}-{uuid.uuid4().hex}"
         for b in batches:
-            for s in byte_slices(b, 1):
+            for s in byte_slices(b, 1, TEXT_BYTES):
                 if writer is None:
                     sink = open_shared(draft, "wb")
                     writer = Writer(sink, 2 if max(enc.size, end_id + 1) <= 1 << 16 else 4)

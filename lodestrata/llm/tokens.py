@@ -17,12 +17,16 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import filterfalse, islice
+from itertools import filterfalse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces of a generation, characters of the longest that is kept, and words of a call of the model.
 REMEMBERED, LONGEST, JOINED = 400_000, 64, 64
+#: Bytes of text that callers give to ``encode`` at once: the more, the fewer distinct pieces to look up for each text.
+TEXT_BYTES = 4 << 20
 #: Marks that are split from a word before them.
 MARKS = frozenset(".,;:!?")
 #: Byte-level form of the letters U+00C0 to U+00FF: each of a letter's two bytes as the character that stands for it.
@@ -186,25 +190,43 @@ class Encoder:
         return self._pieces(texts)
 
     def _pieces(self, texts: list[str]) -> list[bytes]:
-        """``encode`` for texts without an added token, piece by piece."""
+        """``encode`` for texts without an added token: cut and numbered in Arrow, only distinct pieces looked up, ids gathered by number."""
         self._turn()
         lead = self.kind == "lead"
-        cut = [t.split(" ") for t in (texts if lead else map(folded, texts))]
-        heads = [c[0] for c in cut]
+        cut = pc.split_pattern(pa.array(texts if lead else list(map(folded, texts)), pa.large_string()), " ")
+        coded = cut.flatten().dictionary_encode()
+        begin, at, pieces = cut.offsets.to_numpy(), coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        heads = begin[:-1]
+        if lead:  # the first pieces are encoded apart: no space stands before them
+            used = np.ones(len(at), bool)
+            used[heads] = False
+            met = np.bincount(at[used], minlength=len(pieces)) > 0
+            for i in np.flatnonzero(~met).tolist():
+                pieces[i] = "."
+        found = list(map(self.memory.get, pieces))
+        if None in found:
+            self._remember({p for p, x in zip(pieces, found) if x is None})
+            found = [self.memory[p] if x is None else x for p, x in zip(pieces, found)]
+        apart: set[int] = set()
+        if False in found:  # pieces that white space begins
+            bad = np.array([x is False for x in found])
+            apart = set(np.flatnonzero(np.logical_or.reduceat(bad[at], heads)).tolist())
+            found = [x or b"" for x in found]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids, first = np.frombuffer(b"".join(found), np.uint32), np.cumsum(size) - size
+        n = size[at]
         if lead:
-            for c in cut:
-                c[0] = "."  # encoded apart: no space stands before it
-        m, out, new = self.memory, [], set()
-        for c in cut:
-            new.update(filterfalse(m.__contains__, c))
-        if new:
-            self._remember(new)
-        for t, c, h in zip(texts, cut, heads, strict=True):
-            try:
-                if lead:
-                    out.append((self._bytes(h) if h else b"") + b"".join(map(m.__getitem__, islice(c, 1, None))))
-                else:
-                    out.append(b"".join(map(m.__getitem__, c)))
-            except TypeError:  # a piece that white space begins
+            n[heads] = 0
+        ends = np.cumsum(n)
+        raw = ids[np.repeat(first[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        stop = ends[begin[1:] - 1].tolist()
+        out = []
+        for k, (t, i, j) in enumerate(zip(texts, [0, *stop], stop)):
+            if k in apart:
                 out.append(self._bytes(t))
+            elif lead:
+                h = t.partition(" ")[0]
+                out.append((self._bytes(h) if h else b"") + raw[i:j].tobytes())
+            else:
+                out.append(raw[i:j].tobytes())
         return out
