@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 #: Pieces of a generation, characters of the longest that is kept, and words of a call of the model.
 REMEMBERED, LONGEST, JOINED = 400_000, 64, 64
 #: Bytes of text that callers give to ``encode`` at once: the more, the fewer distinct pieces to look up for each text.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 #: Marks that are split from a word before them.
 MARKS = frozenset(".,;:!?")
 #: Byte-level form of the letters U+00C0 to U+00FF: each of a letter's two bytes as the character that stands for it.
@@ -195,7 +195,7 @@ class Encoder:
         lead = self.kind == "lead"
         cut = pc.split_pattern(pa.array(texts if lead else list(map(folded, texts)), pa.large_string()), " ")
         coded = cut.flatten().dictionary_encode()
-        begin, at, pieces = cut.offsets.to_numpy(), coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        begin, at, pieces = cut.offsets.to_numpy(), coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         heads = begin[:-1]
         if lead:  # the first pieces are encoded apart: no space stands before them
             used = np.ones(len(at), bool)
@@ -214,11 +214,16 @@ class Encoder:
             found = [x or b"" for x in found]
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         ids, first = np.frombuffer(b"".join(found), np.uint32), np.cumsum(size) - size
+        del found, pieces, coded
         n = size[at]
         if lead:
             n[heads] = 0
         ends = np.cumsum(n)
-        raw = ids[np.repeat(first[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        whole = int(ends[-1]) if len(ends) else 0
+        places = np.arange(whole, dtype=np.int32 if max(whole, len(ids)) < 1 << 31 else np.int64)
+        places += np.repeat((first[at] - (ends - n)).astype(places.dtype), n)
+        raw = ids[places]
+        del places
         stop = ends[begin[1:] - 1].tolist()
         out = []
         for k, (t, i, j) in enumerate(zip(texts, [0, *stop], stop)):
