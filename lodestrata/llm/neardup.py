@@ -254,12 +254,14 @@ class Search:
         main = main.select("bucket", F.col("main.label").alias("main"), F.ceil(F.col("main.n") / BLOCK).cast("int").alias("gm"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).cast("int").alias("go"))
         m = members.join(main, "bucket").join(self.nodes.select("nid", "sig"), "nid")
         m = m.withColumn("is_main", F.col("label") == F.col("main")).withColumn("own", F.pmod(F.xxhash64("nid"), F.when(F.col("is_main"), F.col("gm")).otherwise(F.col("go"))).cast("int"))
-        upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-        inside = m.filter("is_main").select("*", upto(F.col("go")).alias("j")).select("bucket", F.col("own").alias("i"), "j", "nid", "label", "sig")
-        across = m.filter("not is_main").select("*", upto(F.col("gm")).alias("i")).select("bucket", "i", F.col("own").alias("j"), "nid", "label", "sig")
-        others = m.filter("not is_main").select("*", upto(F.col("go")).alias("k")).select("bucket", (-1 - F.least("own", "k")).alias("i"), F.greatest("own", "k").alias("j"), "nid", "label", "sig")
+        cell = lambda n, i, j: F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(i(k).cast("int").alias("i"), j(k).cast("int").alias("j")))
+        own = F.col("own")
+        inside = cell(F.col("go"), lambda k: own, lambda k: k)
+        across = cell(F.col("gm"), lambda k: k, lambda k: own)
+        others = cell(F.col("go"), lambda k: -1 - F.least(own, k), lambda k: F.greatest(own, k))
+        cells = m.select("bucket", F.explode(F.when(F.col("is_main"), inside).otherwise(F.concat(across, others))).alias("at"), "nid", "label", "sig")
         by = ["bucket", "i", "j"]
-        cells = inside.unionByName(across).unionByName(others).repartition(*by).sortWithinPartitions(*by)
+        cells = cells.select("bucket", "at.i", "at.j", "nid", "label", "sig").repartition(*by).sortWithinPartitions(*by)
 
         def compare(key: tuple, t: pa.Table):
             """(cell, node, partners with a greater place) of the nodes of a cell that are in a pair which pruning leaves."""
