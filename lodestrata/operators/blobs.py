@@ -105,14 +105,22 @@ def read(store: Store, seqs: DataFrame | None = None) -> DataFrame:
     return out.select("seq", "data", ((F.octet_length("data") == F.col("length")) & (F.sha2("data", 256) == F.col("sha256"))).alias("intact"))
 
 
-def read_range(store: Store, seq: int, offset: int, length: int, *, chunk: int = CHUNK) -> DataFrame:
-    """(seq, data): bytes [offset, offset + length) of one blob; only the chunks concerned are read."""
+def read_range(store: Store, seq: int, offset: int, length: int, *, chunk: int = CHUNK, clip: bool = False) -> DataFrame:
+    """(seq, data): bytes [offset, offset + length) of one blob; only the chunks concerned are read.
+
+    A range that ends after the blob, or a blob that isn't there, is refused; with ``clip`` it gives the bytes
+    that there are, or no row.
+    """
     found = store.meta.filter(F.col("seq") == seq).select("owner", "length").take(1)
+    spark = store.meta.sparkSession
     if not found:
+        if clip:
+            return spark.createDataFrame([], "seq long, data binary")
         raise KeyError(seq)
-    if offset < 0 or length < 0 or offset + length > found[0]["length"]:
+    if clip and offset >= 0:
+        length = min(length, max(0, found[0]["length"] - offset))
+    if offset < 0 or length < 0 or not clip and offset + length > found[0]["length"]:
         raise BlobRangeOutOfBounds(f"{offset} + {length} of {found[0]['length']}")
-    spark = store.meta.sparkSession
     if not length:
         return spark.createDataFrame([(seq, bytearray())], "seq long, data binary")
     a, b = offset // chunk, (offset + length - 1) // chunk

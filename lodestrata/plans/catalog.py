@@ -469,7 +469,7 @@ def blob_read(spark, d):
 
 
 def blob_range_read(spark, d):
-    return blobs.read_range(_blobs(spark, d), 3, 1000, 1200, chunk=1024).select("seq", F.hex("data").alias("data"))
+    return blobs.read_range(_blobs(spark, d), 3, 1000, 1200, chunk=1024, clip=True).select("seq", F.hex("data").alias("data"))
 
 
 def blob_meta(spark, d):
