@@ -381,8 +381,8 @@ def _asked(spark, d):
     return _vectors(spark, d).filter("vec_id % 20 = 0")
 
 
-def _search(spark, d, params, metric="euclidean_sq", labels=None):
-    return ivfpq.search_many(spark, _index(spark, d, metric), _asked(spark, d), params, f"{S.scratch(spark, 'ann')}/found", labels)
+def _search(spark, d, params, metric="euclidean_sq", labels=None, index=None):
+    return ivfpq.search_many(spark, index or _index(spark, d, metric), _asked(spark, d), params, f"{S.scratch(spark, 'ann')}/found", labels)
 
 
 def _every(spark, d, **more):
@@ -409,27 +409,31 @@ def ann_filtered_many(spark, d):
     return _search(spark, d, p, labels=_labels(spark, d)).select("query_id", "vec_id", F.round("distance", 4).alias("distance"), "rank")
 
 
-def ann_reranked(spark, d):
-    return _search(spark, d, ivfpq.SearchParams(10, nprobe=3), "cosine")
+def ann_reranked(spark, d, index=None):
+    return _search(spark, d, ivfpq.SearchParams(10, nprobe=3), "cosine", index=index)
 
 
-def ann_pq_only(spark, d):
-    return _search(spark, d, ivfpq.SearchParams(10, nprobe=4, rerank=False), "dot")
+def ann_pq_only(spark, d, index=None):
+    return _search(spark, d, ivfpq.SearchParams(10, nprobe=4, rerank=False), "dot", index=index)
 
 
-def ann_diverse(spark, d):
-    return _search(spark, d, ivfpq.SearchParams(10, nprobe=4, diversity=0.5), "manhattan")
+def ann_diverse(spark, d, index=None):
+    return _search(spark, d, ivfpq.SearchParams(10, nprobe=4, diversity=0.5), "manhattan", index=index)
 
 
 def ann_recall(spark, d):
     """The share of the ten nearest by brute force that the searches above find over all queries, and that
     re-ranked searches find which probe more clusters."""
-    probed = lambda n: lambda s, d: _search(s, d, ivfpq.SearchParams(10, nprobe=n), "cosine")
+    probed = lambda n: lambda s, d, index: _search(s, d, ivfpq.SearchParams(10, nprobe=n), "cosine", index=index)
     searches = {"reranked": ("cosine", ann_reranked), "pq_only": ("dot", ann_pq_only), "diverse": ("manhattan", ann_diverse), "reranked_6": ("cosine", probed(6)), "reranked_8": ("cosine", probed(8))}
-    out = None
+    out, known = None, {}
     for name, (metric, found) in searches.items():
-        truth = knn.nearest_many(_vectors(spark, d), _asked(spark, d), 10, metric=metric).select("query_id", F.col("id").alias("vec_id"))
-        hits = found(spark, d).select("query_id", "vec_id", F.lit(1).alias("hit"))
+        if metric not in known:
+            path = f"{S.scratch(spark, 'truth')}/found"
+            knn.nearest_many(_vectors(spark, d), _asked(spark, d), 10, metric=metric).select("query_id", F.col("id").alias("vec_id")).write.parquet(path)
+            known[metric] = _index(spark, d, metric), spark.read.schema("query_id long, vec_id long").parquet(path)
+        index, truth = known[metric]
+        hits = found(spark, d, index).select("query_id", "vec_id", F.lit(1).alias("hit"))
         one = truth.join(hits, ["query_id", "vec_id"], "left").agg(F.lit(name).alias("search"), F.count_distinct("query_id").alias("queries"), F.round(F.count("hit") / F.count("*"), 4).alias("recall"))
         out = one if out is None else out.unionByName(one)
     return out
